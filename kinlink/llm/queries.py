@@ -5,16 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm import bpe, linededup, mixing, quality, simhash, urlfilter
+from kinlink.llm import bpe, editprint, hmm, langid, licenses, linededup, mixing, quality, simhash, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(parts: int) -> Column:
+    """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = hmm.score(_table(spark, sf_dir, "documents"), _remainder(5) != 1)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    pieces = langid.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    model = langid.fit(docs, pieces, _remainder(4) != 2)
+    return langid.predict(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.build_index(licenses.document_frequencies(docs)))
+
+
+def op8_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.with_neighbours(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -45,6 +71,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_simhash, op5_quality_rules, op6_url_filters, op7_byte_bpe, op9_line_dedup, op10_mixing)
+    f.__name__: f for f in (op1_hidden_markov, op2_language_id, op3_license_scan, op4_simhash, op5_quality_rules, op6_url_filters, op7_byte_bpe, op8_edit_fingerprints, op9_line_dedup, op10_mixing)
 }
 SQL: dict[str, str] = {}
