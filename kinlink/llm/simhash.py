@@ -4,17 +4,17 @@ Method. A text's words (ASCII-lower-cased) give SHINGLE-word shingles with
 repeats; a fingerprint bit is set if it is set in over half of their XXH64
 values. Equal fingerprints are one class. Distinct fingerprints are indexed in
 one table for each of SEGMENTS segments; two fingerprints within MAX_BITS bits
-differ in at most MAX_BITS // SEGMENTS = 1 bit in some segment, so a ball of
-radius 1 around a segment's value fetches every match. Values of even parity
-enumerate the ball (of two values at distance 1 one is even); distance 0 needs no
-probe. Complete distances are verified before a link counts. The search is exact.
+agree in some segment, or each segment differs and then all but
+MAX_BITS - SEGMENTS segments differ in exactly one bit; so balls of radius 1 in
+MAX_BITS - SEGMENTS + 1 segments fetch every match that equal segments don't.
+Values of even parity enumerate the ball (of two values at distance 1 one is
+even). Complete distances are verified before a link counts. The search is exact.
 
 Skew. Copies collapse into classes first. A segment value with more than BLOCK
 members is split into blocks that are compared pair of blocks by pair of blocks
 in separate tasks; a task emits a spanning set of links, never all pairs. With
-three segments (21, 21 and 22 bits) a fingerprint emits 3 + 34 rows on average;
-beyond about 50 million distinct fingerprints two segments of 32 bits cost less
-(``segments`` is a parameter; the result is the same).
+three segments (21, 21 and 22 bits) a fingerprint emits 3 + 21 rows on average,
+at every size of input.
 
 Edge cases: null, empty or wordless texts have fingerprint zero and link like any
 other; texts of fewer words than a shingle hash their whole sequence; repeated
@@ -81,10 +81,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, f"`{id_col}` {id_type}, fp long")
 
 
-def _keys(fp: np.ndarray, segments: tuple, probes: bool) -> tuple[np.ndarray, np.ndarray]:
+def _keys(fp: np.ndarray, segments: tuple, balls: int, probes: bool) -> tuple[np.ndarray, np.ndarray]:
     """Table keys (segment number above the value) and the fingerprints that they belong to."""
     keys, owners = [], []
-    for s, (shift, width) in enumerate(segments):
+    for s, (shift, width) in enumerate(segments[:balls] if probes else segments):
         value = (fp >> np.uint64(shift)) & np.uint64((1 << width) - 1)
         if not probes:
             keys.append(value | np.uint64(s << 40))
@@ -97,15 +97,18 @@ def _keys(fp: np.ndarray, segments: tuple, probes: bool) -> tuple[np.ndarray, np
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def _table(classes: DataFrame, segments: tuple, probes: bool) -> DataFrame:
+def _members(classes: DataFrame, segments: tuple, balls: int) -> DataFrame:
+    """(key, fp, probe): where each fingerprint stands in the tables, and what it looks up."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(fp), 4_096):
-                keys, owners = _keys(fp[at : at + 4_096], segments, probes)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(owners.view(np.int64)), pa.array(np.full(len(keys), int(probes), np.int8))], names=["key", "fp", "probe"])
+            for at in range(0, len(fp), 2_048):
+                for probes in (False, True) if balls else (False,):
+                    keys, owners = _keys(fp[at : at + 2_048], segments, balls, probes)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(owners.view(np.int64)), pa.array(np.full(len(keys), probes))], names=["key", "fp", "probe"])
 
-    return classes.select("fp").mapInArrow(run, "key long, fp long, probe byte")
+    return classes.select("fp").mapInArrow(run, "key long, fp long, probe boolean")
 
 
 def _spanning(left: np.ndarray, right: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -154,20 +157,18 @@ def _compare(group: np.ndarray, fp: np.ndarray, right: np.ndarray, most: int) ->
 
 def links(classes: DataFrame, most: int = MAX_BITS, segments: tuple = SEGMENTS, block: int = BLOCK) -> DataFrame:
     """(a, b): links that span the components of distinct fingerprints ``fp`` within ``most`` bits."""
-    if most // len(segments) > 1:
+    if most >= 2 * len(segments):
         raise ValueError("more segments are needed: the balls have radius 1")
-    index = _table(classes, segments, probes=False)
-    probes = _table(classes, segments, probes=True).join(index.select("key").distinct(), "key", "left_semi")
-    members = index.union(probes.select("key", "fp", "probe"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("probe").alias("least")).filter("n > 1 and least = 0")
-    members = members.join(sizes.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks").cast("bigint")).cast("int")
+    members = _members(classes, segments, max(0, most - len(segments) + 1))
+    hot = members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    hot = hot.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    members = members.join(hot, "key", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks").cast("bigint")).cast("int"))
     all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
-    members = members.withColumn("own", own)
     as_left = F.transform(all_blocks, lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(False).alias("right")))
     as_right = F.transform(all_blocks, lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(True).alias("right")))
-    places = F.when(F.col("probe") == 1, as_right).otherwise(F.concat(as_left, F.filter(as_right, lambda x: x["i"] < x["j"])))
-    places = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), (F.col("probe") == 1).alias("right")))).otherwise(places)
+    spread = F.when(F.col("probe"), as_right).otherwise(F.concat(as_left, F.filter(as_right, lambda x: x["i"] < x["j"])))
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("probe").alias("right")))
+    places = F.when(F.col("blocks").isNull(), alone).otherwise(spread)
     placed = members.select("key", "fp", F.inline(places)).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "right", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
