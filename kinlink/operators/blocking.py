@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from kinlink.functions import similarity as S
 from kinlink.functions import tokens as K
+from kinlink.sources.shared import materialize
 
 
 @dataclass(frozen=True)
@@ -64,13 +65,18 @@ def top_k(scores: DataFrame, k: int, by: str = "cos") -> DataFrame:
     return scores.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
 
 
-def candidates(s1: DataFrame, pool: DataFrame, views: tuple[View, ...] = DEFAULT_VIEWS) -> DataFrame:
-    """(country, s1_id, t_id, cos_<view>..., expanded): union of the views' top k; a pair without shared tokens in a view has 0 there."""
+def candidates(s1: DataFrame, pool: DataFrame, views: tuple[View, ...] = DEFAULT_VIEWS, scope: str = "default") -> DataFrame:
+    """(country, s1_id, t_id, cos_<view>..., expanded): union of the views' top k; a pair without shared tokens in a view has 0 there.
+
+    Scores serve both the top k and the other views' cosines, and candidates all that
+    follows, so both are written to the shared folder once.
+    """
     both = s1.withColumn("side", F.lit("q")).unionByName(pool.withColumn("side", F.lit("t")), allowMissingColumns=True)
     scores = {}
     for v in views:
         w = token_weights(both, v)
-        scores[v.name] = pair_scores(w.filter("side = 'q'"), w.filter("side = 't'"))
+        w = materialize(w, f"weights-{v.name}", scope)
+        scores[v.name] = materialize(pair_scores(w.filter("side = 'q'"), w.filter("side = 't'")), f"scores-{v.name}", scope)
     keys = ["country", "s1_id", "t_id"]
     pairs = None
     for v in views:
@@ -79,7 +85,7 @@ def candidates(s1: DataFrame, pool: DataFrame, views: tuple[View, ...] = DEFAULT
     pairs = pairs.distinct()
     for v in views:
         pairs = pairs.join(scores[v.name].withColumnRenamed("cos", f"cos_{v.name}"), keys, "left").fillna(0.0, [f"cos_{v.name}"])
-    return pairs.withColumn("expanded", F.lit(0))
+    return materialize(pairs.withColumn("expanded", F.lit(0)), "candidates", scope)
 
 
 #: Keys by which pool records are twins, and the least length of a key.
