@@ -48,11 +48,10 @@ FREQUENT, CLASSES = 16_384, 4_096
 HOT_BYTES = 64
 #: Training rounds, and emissions of the unigram distribution that are added to each state.
 ROUNDS, PRIOR = 5, 256.0
-CHUNK = 256
+#: Tokens of a chunk and of a batch of chunks that advance together, and steps between scalings.
+CHUNK, TOGETHER, SCALED = 4_096, 1 << 20, 8
 #: Tokens of a text that are held as arrays at a time.
 WINDOW = 1 << 20
-#: Chunks that advance together.
-TOGETHER = 1_024
 #: Distinct words that a counting task holds before it hands them on.
 HELD_WORDS = 400_000
 SCALE = 1 << 16
@@ -127,7 +126,11 @@ class Chain:
 
 
 class Batch:
-    """Sequences of symbols, cut into chunks that advance together."""
+    """Sequences of symbols, cut into chunks that advance together.
+
+    Chunks are sorted by length, so at each step the first ``live[t]`` of them go on; step t's
+    symbols and vectors lie packed at ``at[t]``.
+    """
 
     def __init__(self, chain: Chain, sequences: list[np.ndarray], start: np.ndarray | None = None):
         """start: the vector that enters the first chunk of every sequence."""
@@ -141,11 +144,11 @@ class Batch:
         order = np.argsort(-size, kind="stable")
         self.owner, self.number, self.size = owner[order], number[order], size[order]
         begin = np.r_[0, np.cumsum(n)[:-1]][self.owner] + self.number * CHUNK
-        flat = np.concatenate(sequences)
-        steps = int(self.size.max())
-        where = np.minimum(begin[:, None] + np.arange(steps)[None, :], len(flat) - 1)
-        self.symbols = flat[where].T.astype(np.int64)  # steps x chunks
-        self.live = np.searchsorted(-self.size, -np.arange(steps), side="left")
+        self.live = np.searchsorted(-self.size, -np.arange(int(self.size.max())), side="left")
+        self.at = np.r_[0, np.cumsum(self.live)]
+        step = np.repeat(np.arange(len(self.live)), self.live)
+        chunk = np.arange(self.at[-1]) - self.at[step]
+        self.symbols = np.concatenate(sequences)[begin[chunk] + step]
         self.multi = np.flatnonzero(per[self.owner] > 1)
         self.texts = len(n)
 
@@ -153,13 +156,15 @@ class Batch:
         """Transfer matrices of the chunks of longer sequences, scaled."""
         s = STATES + 1
         own = self.multi  # sorted by size, as all chunks are
-        size, symbols = self.size[own], self.symbols[:, own]
         p = np.broadcast_to(np.eye(s), (len(own), s, s)).copy()
-        for t in range(int(size.max(initial=0))):
-            m = int(np.searchsorted(-size, -t, side="left"))
-            q = (p[:m].reshape(-1, s) @ self.chain.moves).reshape(m, s, s) * self.chain.emits[symbols[t, :m]][:, None, :]
-            p[:m] = q / q.max(axis=(1, 2))[:, None, None]
-        return p
+        for t in range(int(self.size[own].max(initial=0))):
+            m = int(np.searchsorted(own, self.live[t]))
+            q = (p[:m].reshape(-1, s) @ self.chain.moves).reshape(m, s, s)
+            q *= self.chain.emits[self.symbols[self.at[t] + own[:m]]][:, None, :]
+            if t % SCALED == 0:
+                q /= q.max(axis=(1, 2))[:, None, None]
+            p[:m] = q
+        return p / p.max(axis=(1, 2))[:, None, None]
 
     def _ends(self) -> tuple[np.ndarray, np.ndarray]:
         """Vectors that enter each chunk from the left and from the right, each scaled."""
@@ -181,62 +186,82 @@ class Batch:
                 right[self.multi[at[back]]] = w / w.sum(axis=1, keepdims=True)
         return left, right
 
-    def _forward(self, left: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        """Logs of the scales and last vectors of the chunks, and all vectors if kept."""
-        moves, emits = self.chain.moves, self.chain.emits
-        a = left.copy()
-        log = np.zeros(len(a))
-        kept = np.zeros((*self.symbols.shape, a.shape[1])) if keep else None
-        for t, m in enumerate(self.live):
-            b = (a[:m] @ moves) * emits[self.symbols[t, :m]]
-            scale = b.sum(axis=1)
-            b /= scale[:, None]
-            log[:m] += np.log(scale)
-            a[:m] = b
-            if keep:
-                kept[t, :m] = b
-        return log, a, kept
-
     def loglik(self) -> np.ndarray:
-        """Natural log likelihood of each sequence."""
-        left, _ = self._ends()
-        log, self.last, _ = self._forward(left, keep=False)
+        """Natural log likelihood of each sequence; ``last`` keeps each chunk's last vector.
+
+        Vectors are columns, so that one operation runs along the chunks.
+        """
+        a = np.ascontiguousarray(self._ends()[0].T)
+        moves, emits = np.ascontiguousarray(self.chain.moves.T), np.ascontiguousarray(self.chain.emits.T)
+        log = np.zeros(a.shape[1])
+        ends = np.r_[self.live[1:], 0]
+        for t, m in enumerate(self.live.tolist()):
+            b = moves @ a[:, :m]
+            b *= emits.take(self.symbols[self.at[t] : self.at[t] + m], axis=1)
+            a[:, :m] = b
+            low = 0 if t % SCALED == SCALED - 1 else ends[t]  # all chunks now and then, and those that end here
+            if low < m:
+                scale = a[:, low:m].sum(axis=0)
+                a[:, low:m] /= scale
+                log[low:m] += np.log(scale)
+        self.last = a.T
         return np.bincount(self.owner, log, minlength=self.texts)
 
     def expected(self) -> tuple[np.ndarray, np.ndarray]:
-        """Expected moves, and expected emissions by symbol."""
-        moves, emits = self.chain.moves, self.chain.emits
-        left, right = self._ends()
-        _, _, alpha = self._forward(left, keep=True)
-        b = right.copy()
-        total = np.zeros_like(moves)
-        weight = np.zeros((*self.symbols.shape, STATES))
-        for t in range(len(self.live) - 1, -1, -1):
+        """Expected moves, and expected emissions by symbol.
+
+        A symbol's emissions may be scaled freely here, so they are scaled to sum 1 and
+        vectors shrink slowly; single precision and rare scalings do.
+        """
+        left, right = (np.ascontiguousarray(x.T, np.float32) for x in self._ends())
+        back = self.chain.moves.astype(np.float32)
+        moves = np.ascontiguousarray(back.T)
+        emits = np.ascontiguousarray((self.chain.emits / self.chain.emits.sum(axis=1, keepdims=True)).T, np.float32)
+        ones = np.ones(STATES + 1, np.float32)
+        kept = []
+        now = left
+        at = self.at.tolist()
+        for t, m in enumerate(self.live.tolist()):
+            now = moves @ now[:, :m]
+            now *= emits.take(self.symbols[at[t] : at[t + 1]], axis=1)
+            if t % SCALED == SCALED - 1:
+                now /= ones @ now
+            kept.append(now)
+        b = right
+        total = np.zeros((STATES + 1, STATES + 1))
+        gamma = np.empty((STATES, at[-1]), np.float32)
+        for t in range(len(kept) - 1, -1, -1):
             m = self.live[t]
-            before = alpha[t - 1, :m] if t else left[:m]
-            gamma = alpha[t, :m] * b[:m]
-            gamma /= gamma.sum(axis=1, keepdims=True)
-            weight[t, :m] = gamma[:, :STATES]
-            e = emits[self.symbols[t, :m]] * b[:m]
-            c = e @ moves.T
-            norm = np.einsum("ni,ni->n", before, c)
-            total += moves * (before.T @ (e / norm[:, None]))
-            b[:m] = c / c.sum(axis=1, keepdims=True)
-        seen = np.arange(len(self.live))[:, None] < self.size[None, :]
-        symbols = self.symbols[seen]
-        weight = weight[seen]
-        counts = np.stack([np.bincount(symbols, weight[:, k], minlength=len(emits)) for k in range(STATES)], axis=1)
-        return total, counts
+            before = kept[t - 1][:, :m] if t else left[:, :m]
+            e = emits.take(self.symbols[at[t] : at[t + 1]], axis=1)
+            e *= b[:, :m]
+            c = back @ e
+            here = kept.pop()
+            here *= b[:, :m]
+            share = 1 / (ones @ here)
+            np.multiply(here[:STATES], share, out=gamma[:, at[t] : at[t + 1]])  # the states' probabilities at this step
+            e *= 1 / (ones @ (before * c)) if t % SCALED == SCALED - 1 else share
+            total += before @ e.T
+            if t % SCALED == 0:
+                c /= ones @ c
+            b[:, :m] = c
+        order = np.argsort(self.symbols, kind="stable")
+        found = self.symbols[order]
+        first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+        counts = np.zeros((emits.shape[1], STATES))
+        for k in range(STATES):
+            counts[found[first], k] = np.add.reduceat(gamma[k].take(order), first, dtype=np.float64)
+        return total * self.chain.moves, counts
 
 
 def _batched(sequences: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
-    part, chunks = [], 0
+    part, size = [], 0
     for x in sequences:
         part.append(x)
-        chunks += -(-len(x) // CHUNK)
-        if chunks >= TOGETHER:
+        size += len(x)
+        if size >= TOGETHER:
             yield part
-            part, chunks = [], 0
+            part, size = [], 0
     if part:
         yield part
 
@@ -268,7 +293,7 @@ def _encode(docs: DataFrame, frequent: dict[bytes, int], training: Column, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
-        end = len(frequent) + CLASSES
+        last = np.array([len(frequent) + CLASSES], "<u2").tobytes()
 
         class Memo(dict):
             def __missing__(self, word: bytes) -> int:
@@ -285,15 +310,14 @@ def _encode(docs: DataFrame, frequent: dict[bytes, int], training: Column, id_co
             n, symbols, rare, ends = [], [], [], [0]
             for data in blobs(batch.column(3)):
                 words = tokens(data)
-                got = [memo[w] for w in words]
-                few = Counter([x for x in zip(words, got) if x[1] >= len(frequent)])
+                got = np.fromiter(map(memo.__getitem__, words), "<u2", len(words))
+                few = Counter([words[k] for k in np.flatnonzero(got >= len(frequent)).tolist()])
                 n.append(len(words) + 1)
-                got.append(end)
-                symbols.append(np.array(got, "<u2").tobytes())
+                symbols.append(got.tobytes() + last)
                 rare.extend(few.items())
                 ends.append(len(rare))
             entries = pa.StructArray.from_arrays(
-                [pa.array([x[0][0] for x in rare], pa.binary()), pa.array([x[0][1] - len(frequent) for x in rare], pa.int32()), pa.array([x[1] for x in rare], pa.int32())],
+                [pa.array([x[0] for x in rare], pa.binary()), pa.array([memo[x[0]] - len(frequent) for x in rare], pa.int32()), pa.array([x[1] for x in rare], pa.int32())],
                 names=["word", "class", "times"],
             )
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
