@@ -1,9 +1,9 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
 Method. How many documents hold each word of the templates is counted over all
-rows. Each template is filed under its INDEX_WORDS words of highest IDF, with
-their positions. A document looks up the words it shares with the index; every
-occurrence votes for (template, document position - template position). Where two
+rows. Each template is filed under its words of high IDF (in at most RARE_SHARE of
+the documents, and at least the rarer half of its words), with their positions. A
+document looks up the words it shares with the index; every occurrence votes for (template, document position - template position). Where two
 postings agree on that relative position, the template's key phrase must stand at
 exactly its place; then the template counts, scored by the share of its words that
 stand where they should. Base phrases are found wherever their words are
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 #: What separates words, after lower-casing.
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-INDEX_WORDS = 5
+RARE_SHARE = 0.05
 #: Relative positions are shifted so that they stay positive; no template is longer.
 SHIFT = 1_000
 
@@ -82,23 +82,27 @@ def _list(values: list[str]) -> Column:
     return F.split(F.lit(" ".join(values)), " ")
 
 
-def document_frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text_col: str = "text") -> dict[str, int]:
-    """Documents that hold each template word, over all rows."""
+def document_frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text_col: str = "text") -> dict[str | None, int]:
+    """Documents that hold each template word, over all rows; None holds how many documents there are."""
     vocabulary = sorted({w for t in templates for w in t.words.split()})
-    shared = docs.select(F.array_intersect(F.split(_spaced(F.col(text_col)), " "), _list(vocabulary)).alias("w"))
+    own = F.array_intersect(F.split(_spaced(F.col(text_col)), " "), _list(vocabulary))
+    shared = docs.select(F.concat(own, F.array(F.lit(""))).alias("w"))
     found = shared.select(F.explode_outer("w").alias("w")).groupBy("w").count().collect()
-    return dict.fromkeys(vocabulary, 0) | {w: n for w, n in found if w is not None}
+    return dict.fromkeys([None, *vocabulary], 0) | {w or None: n for w, n in found}
 
 
-def build_index(frequencies: dict[str, int], templates: tuple[Template, ...] = TEMPLATES, top: int = INDEX_WORDS) -> dict[str, list[tuple[int, int]]]:
-    """word -> (template, position) postings of each template's words of highest IDF."""
-    total = 1 + max(frequencies.values(), default=0)
-    idf = {w: math.log(total / (1 + n)) for w, n in frequencies.items()}
+def build_index(frequencies: dict[str | None, int], templates: tuple[Template, ...] = TEMPLATES, rare_share: float = RARE_SHARE) -> dict[str, list[tuple[int, int]]]:
+    """word -> (template, position) postings of each template's words of high IDF."""
+    total = frequencies.get(None, 0)
+    idf = lambda w: math.log((1 + total) / (1 + frequencies.get(w, 0)))
+    rare = math.log((1 + total) / (1 + rare_share * total))
     index: dict[str, list[tuple[int, int]]] = {}
     for t, template in enumerate(templates):
         words = template.words.split()
-        for w in sorted(set(words), key=lambda w: (-idf.get(w, 0.0), w))[:top]:
-            index.setdefault(w, []).extend((t, p) for p, x in enumerate(words) if x == w)
+        distinct = sorted(set(words), key=lambda w: (-idf(w), w))
+        for k, w in enumerate(distinct):
+            if 2 * k < len(distinct) or idf(w) >= rare:
+                index.setdefault(w, []).extend((t, p) for p, x in enumerate(words) if x == w)
     return index
 
 
