@@ -149,7 +149,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         bitmaps[s] = bytes(bits)
     shared = spark.sparkContext.broadcast(bitmaps)
     suspects = materialize(_suspects(texts, shared, shards, min_chars, id_col), "suspects", scope)
-    confirmed = suspects.groupBy("digest").agg(F.count("*").alias("n"), F.max("_id").alias("keeper")).filter(F.col("n") >= min_docs)
+    # written, so that both sides of the join are plain exchanges, whose hot digests Spark can split
+    confirmed = materialize(suspects.groupBy("digest").agg(F.count("*").alias("n"), F.max("_id").alias("keeper")).filter(F.col("n") >= min_docs), "confirmed", scope)
     losers = suspects.join(confirmed, "digest").filter(~F.col("_id").eqNullSafe(F.col("keeper")))
     return losers.groupBy("_id").agg(F.collect_set("digest").alias("drops"))
 
