@@ -42,6 +42,8 @@ SEED = 42
 MAX_BITS = 4
 #: (shift, width) of the segments of a fingerprint.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
+#: Segments for up to 7 bits.
+FOUR_SEGMENTS = ((0, 16), (16, 16), (32, 16), (48, 16))
 #: Members of one segment value that one task compares with as many others.
 BLOCK = 1_024
 #: Groups up to this size are verified for many groups at a time.
@@ -197,22 +199,22 @@ def links(classes: DataFrame, most: int = MAX_BITS, segments: tuple = SEGMENTS,
     return placed.select("key", "i", "j", "fp", "right").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_BITS, shingle: int = SHINGLE, scope: str = "default") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_BITS, shingle: int = SHINGLE, segments: tuple = SEGMENTS, scope: str = "default") -> DataFrame:
     """(id, fp, root, component_id) of every row: ``root`` is one fingerprint for each component,
     ``component_id`` the smallest id in it."""
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints", scope)
     classes = rows.groupBy("fp").agg(F.min(id_col).alias("_least"))
-    found = components(links(classes, most), scope=scope)
+    found = components(links(classes, most, segments), scope=scope)
     classes = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
     least = classes.groupBy("root").agg(F.min("_least").alias("component_id"))
     classes = classes.select("fp", "root").join(least, "root")
     return rows.join(classes, "fp").select(F.col(id_col), "fp", "root", "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_BITS, shingle: int = SHINGLE, scope: str = "default") -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_BITS, shingle: int = SHINGLE, segments: tuple = SEGMENTS, scope: str = "default") -> DataFrame:
     """One document of each component, with all its columns: the one with the smallest id
     (any of equal rows; of a component without ids, the row with the smallest text)."""
-    found = near_duplicates(docs, id_col, text_col, most, shingle, scope)
+    found = near_duplicates(docs, id_col, text_col, most, shingle, segments, scope)
     firsts = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct(F.col(id_col), "fp")).alias("f")).select("f.*")
     kept = docs.join(firsts.select(F.col(id_col).alias("_id")), docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
     return kept.dropDuplicates([id_col])

@@ -152,10 +152,10 @@ def test_simhash_search_is_exact(spark):
     many = [int(c) ^ sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 6))) for c in np.repeat(centres, 12)]
     many += [int(centres[0]) ^ (1 << a) ^ (1 << b) for a in range(30) for b in range(a)]
     fps = sorted(set(many))
-    label = grouped_fast(fps)
     df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in fps], "fp long")
-    for block in (1_024, 16):
-        roots = {r.node % 2**64: r.root for r in components.components(simhash.links(df, block=block)).collect()}
+    for block, most, segments in ((1_024, 4, simhash.SEGMENTS), (16, 4, simhash.SEGMENTS), (64, 7, simhash.FOUR_SEGMENTS)):
+        label = grouped_fast(fps, most)
+        roots = {r.node % 2**64: r.root for r in components.components(simhash.links(df, most, segments, block)).collect()}
         mine = defaultdict(set)
         for f in fps:
             mine[roots.get(f, ("alone", f))].add(f)
@@ -165,9 +165,9 @@ def test_simhash_search_is_exact(spark):
         assert {frozenset(x) for x in mine.values()} == {frozenset(x) for x in theirs.values()}
 
 
-def grouped_fast(fps):
+def grouped_fast(fps, most):
     x = np.array(fps, np.uint64)
-    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 4
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= most
     label = np.arange(len(x))
     while True:
         new = np.where(near, label[None, :], len(x)).min(axis=1)
