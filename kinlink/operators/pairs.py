@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from kinlink.functions import similarity as S
 from kinlink.functions import tokens as K
+from kinlink.operators.blocking import twin_groups
+from kinlink.operators.context import group_context
+from kinlink.sources.shared import materialize
 
 PAIR = ["country", "s1_id", "t_id"]
 FIELDS = ("name_norm", "name_core", "name_compact", "addr_norm", "house_number")
@@ -139,22 +142,27 @@ def rival_features(pairs: DataFrame, s1_all: DataFrame, members: int = 21) -> Da
     return out.withColumn("self_minus_rival_addr", F.coalesce("addr_tset", F.lit(0.0)) - F.col("rival_addr_best"))
 
 
-def build_features(pairs: DataFrame, s1: DataFrame, pool: DataFrame, s1_all: DataFrame | None = None) -> DataFrame:
-    """All stage-1 columns of candidate pairs: similarities, shared mass, overlaps, twins, rivals and group context."""
-    from kinlink.operators.blocking import twin_groups
-    from kinlink.operators.context import group_context
+def build_features(pairs: DataFrame, s1: DataFrame, pool: DataFrame, s1_all: DataFrame | None = None, scope: str = "default") -> DataFrame:
+    """All stage-1 columns of candidate pairs: similarities, shared mass, overlaps, twins, rivals and group context.
 
+    The string features are written once; every further block is computed on pair keys and
+    joined to them, so that no similarity is computed twice.
+    """
     cos = [c for c in pairs.columns if c.startswith("cos_")]
-    everyone = s1.unionByName(pool)
-    df = set_features(string_features(_both(pairs, s1, pool, (*FIELDS, "addr_key", "name_key"))))
-    df = idf_overlap(df, s1, pool, token_idf(everyone, "name_norm"), "name_norm", "name")
-    df = idf_overlap(df, s1, pool, token_idf(everyone, "addr_norm"), "addr_norm", "addr").drop("addr_idf_shared", "addr_idf_miss_s1", "addr_idf_miss_t")
+    everyone, keys = s1.unionByName(pool), pairs.select(*PAIR)
+    df = materialize(set_features(string_features(_both(pairs, s1, pool, (*FIELDS, "addr_key", "name_key")))), "strings", scope)
+    name = idf_overlap(keys, s1, pool, token_idf(everyone, "name_norm"), "name_norm", "name")
+    addr = idf_overlap(keys, s1, pool, token_idf(everyone, "addr_norm"), "addr_norm", "addr").drop("addr_idf_shared", "addr_idf_miss_s1", "addr_idf_miss_t")
     twins = twin_groups(pool, "name_compact", 6).select("country", F.col("entity_id").alias("t_id"), F.col("twins").alias("t_compact_twins"))
+    blocks = [name, addr]
+    if s1_all is not None:
+        own = df.select(*PAIR, "q_name_compact", "t_name_norm", "t_addr_norm", "addr_tset")
+        blocks.append(rival_features(own, s1_all).drop("q_name_compact", "t_name_norm", "t_addr_norm", "addr_tset"))
+    for block in blocks:
+        df = df.join(block, PAIR)
     df = df.join(twins, ["country", "t_id"], "left").fillna(1, ["t_compact_twins"])
     each = F.array(*cos)
     df = df.withColumns({"cos_max": F.array_max(each), "cos_mean": F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / len(cos)})
-    if s1_all is not None:
-        df = rival_features(df, s1_all)
     return group_context(df, ["country", "s1_id"], [*cos[:2], "name_tset", "addr_tset"])
 
 

@@ -12,6 +12,7 @@ from kinlink.plans import duck
 from kinlink.plans.registry import query
 from kinlink.plans.text_queries import records
 from kinlink.plans.views import table
+from kinlink.sources.shared import materialize
 
 VIEWS = (blocking.View("comb", "combined", 10, max_df=0.2), blocking.View("name", "name_norm", 5, max_df=0.2))
 RECORDS = duck.records()
@@ -23,8 +24,8 @@ CANDS = f"""(select country, s1_id, t_id, coalesce(c.cos, 0.0) as cos_comb, coal
 
 
 def sides(spark, sf_dir):
-    """(S1, pool) of the record view."""
-    r = records(spark, sf_dir)
+    """(S1, pool) of the record view, written once: many joins read it."""
+    r = materialize(records(spark, sf_dir), "records")
     return r.filter("source = 'S1'"), r.filter("source <> 'S1'")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from kinlink.operators import blocking, context, decision, evaluation, learning, pairs, validation
 from kinlink.operators.records import normalize_records
 from kinlink.sources import sampling, synthetic, tables
+from kinlink.sources.shared import materialize
 
 
 def test_f05(spark):
@@ -35,10 +36,10 @@ def test_group_context(spark):
 
 @pytest.fixture(scope="module")
 def linked(spark):
-    s1, pool, truth = synthetic.dataset(spark, 120)
-    s1, pool = normalize_records(s1).cache(), normalize_records(pool).cache()
+    s1, pool, truth = synthetic.dataset(spark, 60)
+    s1, pool, truth = (materialize(x, "test") for x in (normalize_records(s1), normalize_records(pool), truth))
     views = (blocking.View("comb", "combined", 8, max_df=0.3), blocking.View("name", "name_norm", 4, max_df=0.3))
-    return s1, pool, truth.cache(), blocking.candidates(s1, pool, views)
+    return s1, pool, truth, blocking.candidates(s1, pool, views)
 
 
 def test_candidates(linked):
@@ -60,10 +61,10 @@ def test_features_and_two_stages(spark, linked):
     features = learning.with_labels(pairs.build_features(got, s1, pool, s1), truth)
     assert len(pairs.feature_columns(features)) >= 55 and features.count() == got.count()
     e = s1.select(F.col("entity_id").alias("s1_id")).join(truth.groupBy("s1_id").agg(F.count("*").alias("n_true")), "s1_id", "left").fillna(0)
-    model = learning.train(features, e, folds=2, trees=3)
+    model = learning.train(features, e, folds=2, trees=2)
     found = model.matches(features)
     score = decision.macro(decision.entity_scores(e, found, truth)).first().macro_f05
-    assert score > 0.8 and found.groupBy("t_id").count().filter("count > 1").count() == 0
+    assert score > 0.7 and found.groupBy("t_id").count().filter("count > 1").count() == 0
     report = evaluation.score_report(s1.select(F.col("entity_id").alias("s1_id"), "country"), got, found, truth).collect()
     assert sum(r.n_s1 for r in report if r.country is None) == s1.count() and all(r.stray == 0 for r in report)
 
