@@ -193,18 +193,18 @@ class Batch:
         """
         a = np.ascontiguousarray(self._ends()[0].T)
         moves, emits = np.ascontiguousarray(self.chain.moves.T), np.ascontiguousarray(self.chain.emits.T)
-        log = np.zeros(a.shape[1])
-        ends = np.r_[self.live[1:], 0]
+        log, last = np.zeros(a.shape[1]), np.empty_like(a)
+        ends = [*self.live[1:].tolist(), 0]
         for t, m in enumerate(self.live.tolist()):
-            b = moves @ a[:, :m]
-            b *= emits.take(self.symbols[self.at[t] : self.at[t] + m], axis=1)
-            a[:, :m] = b
+            a = moves @ a[:, :m]
+            a *= emits.take(self.symbols[self.at[t] : self.at[t] + m], axis=1)
             low = 0 if t % SCALED == SCALED - 1 else ends[t]  # all chunks now and then, and those that end here
             if low < m:
-                scale = a[:, low:m].sum(axis=0)
-                a[:, low:m] /= scale
+                scale = a[:, low:].sum(axis=0)
+                a[:, low:] /= scale
                 log[low:m] += np.log(scale)
-        self.last = a.T
+                last[:, ends[t] : m] = a[:, ends[t] :]
+        self.last = last.T
         return np.bincount(self.owner, log, minlength=self.texts)
 
     def expected(self) -> tuple[np.ndarray, np.ndarray]:
@@ -307,17 +307,19 @@ def _encode(docs: DataFrame, frequent: dict[bytes, int], training: Column, id_co
 
         memo = Memo()
         for batch in batches:
-            n, symbols, rare, ends = [], [], [], [0]
+            n, symbols, rare, times, ends = [], [], [], [], [0]
             for data in blobs(batch.column(3)):
                 words = tokens(data)
                 got = np.fromiter(map(memo.__getitem__, words), "<u2", len(words))
                 few = Counter([words[k] for k in np.flatnonzero(got >= len(frequent)).tolist()])
                 n.append(len(words) + 1)
                 symbols.append(got.tobytes() + last)
-                rare.extend(few.items())
+                rare.extend(few)
+                times.extend(few.values())
                 ends.append(len(rare))
+            classes = np.fromiter(map(memo.__getitem__, rare), np.int32, len(rare)) - len(frequent)
             entries = pa.StructArray.from_arrays(
-                [pa.array([x[0] for x in rare], pa.binary()), pa.array([memo[x[0]] - len(frequent) for x in rare], pa.int32()), pa.array([x[1] for x in rare], pa.int32())],
+                [pa.array(rare, pa.binary()), pa.array(classes.astype(np.int32)), pa.array(times, pa.int32())],
                 names=["word", "class", "times"],
             )
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
@@ -396,8 +398,9 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
             at = 0
             for part in _batched(_symbols(batch.column(4))):
                 log = _loglik(chain, part) / math.log(10)
-                base = [float(base_own[x].sum()) for x in part]
-                known = [int((x < first).sum()) + ended for x in part]
+                flat, starts = np.concatenate(part), np.cumsum([0, *map(len, part[:-1])])
+                base = np.add.reduceat(base_own[flat], starts)
+                known = np.add.reduceat(flat < first, starts, dtype=np.int64) + ended
                 kept = [c.slice(at, len(part)) for c in batch.columns[:4]]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(log, pa.float64())], names=names)
                 at += len(part)
