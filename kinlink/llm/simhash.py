@@ -30,7 +30,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.llm.components import components
@@ -50,18 +50,23 @@ BLOCK = 1_024
 SMALL = 8
 
 
-def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
-    """Fingerprint of one UTF-8 text, unsigned."""
+def shingle_hashes(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of all shingles of one UTF-8 text, with repeats; none without words."""
     words = data.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
+    of = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([of(joined, SEED)], dtype="<u8")
+    ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends[: len(words) - shingle]]
-    of = xxhash.xxh64_intdigest
-    values = np.array([of(joined[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :])], dtype="<u8")
+    return np.array([of(joined[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :])], dtype="<u8")
+
+
+def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
+    """Fingerprint of one UTF-8 text, unsigned."""
+    values = shingle_hashes(data, shingle)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(values), 16_384):
         part = values[at : at + 16_384]
@@ -211,6 +216,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, "fp").select(F.col(id_col), "fp", "root", "component_id")
 
 
+def digest(text_col: str = "text") -> Column:
+    """Digest of a text; null as empty."""
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+
+
+def firsts(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each root of ``found`` (id, digest, root): the smallest id, null last, then the
+    smallest text digest; any of rows that are equal in both."""
+    best = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), "digest")).alias("f"))
+    best = best.select(F.col("f.id").alias("_first_id"), F.col("f.digest").alias("_first_digest"))
+    kept = docs.withColumn("_digest", digest(text_col))
+    kept = kept.join(best, F.col(id_col).eqNullSafe(F.col("_first_id")) & (F.col("_digest") == F.col("_first_digest")), "left_semi")
+    return kept.dropDuplicates([id_col, "_digest"]).drop("_digest")
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_BITS, shingle: int = SHINGLE, segments: tuple = SEGMENTS, scope: str = "default") -> DataFrame:
     """One document of each component, with all its columns: the one with the smallest id
     (any of equal rows; of a component without ids, the row with the smallest text)."""
