@@ -75,17 +75,19 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): the fingerprint of every whole text as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, digests: bool = False) -> DataFrame:
+    """(id, fp): the fingerprint of every whole text as a signed 64-bit integer; with ``digests`` the text's digest too."""
     small_batches(docs.sparkSession)
-    id_type = docs.schema[id_col].dataType.simpleString()
+    carry = {id_col: F.col(id_col)} | ({"digest": digest(text_col)} if digests else {})
+    picked = docs.select(*[c.alias(k) for k, c in carry.items()], F.col(text_col).cast("binary").alias("_text"))
+    names, schema = list(carry), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(data, shingle) for data in blobs(batch.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
+            fp = np.array([fingerprint(data, shingle) for data in blobs(batch.column(len(names)))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(fp.view(np.int64))], names=[*names, "fp"])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, f"`{id_col}` {id_type}, fp long")
+    return picked.mapInArrow(run, f"{schema}, fp long")
 
 
 def _keys(fp: np.ndarray, segments: tuple, balls: int, probes: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -204,16 +206,16 @@ def links(classes: DataFrame, most: int = MAX_BITS, segments: tuple = SEGMENTS,
     return placed.select("key", "i", "j", "fp", "right").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_BITS, shingle: int = SHINGLE, segments: tuple = SEGMENTS, scope: str = "default") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_BITS, shingle: int = SHINGLE, segments: tuple = SEGMENTS, scope: str = "default", digests: bool = False) -> DataFrame:
     """(id, fp, root, component_id) of every row: ``root`` is one fingerprint for each component,
-    ``component_id`` the smallest id in it."""
-    rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints", scope)
+    ``component_id`` the smallest id in it; with ``digests`` the text's digest too."""
+    rows = materialize(fingerprints(docs, id_col, text_col, shingle, digests), "fingerprints", scope)
     classes = rows.groupBy("fp").agg(F.min(id_col).alias("_least"))
     found = components(links(classes, most, segments), scope=scope)
     classes = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
     least = classes.groupBy("root").agg(F.min("_least").alias("component_id"))
     classes = classes.select("fp", "root").join(least, "root")
-    return rows.join(classes, "fp").select(F.col(id_col), "fp", "root", "component_id")
+    return rows.join(classes, "fp").select(F.col(id_col), "fp", "root", "component_id", *(["digest"] if digests else []))
 
 
 def digest(text_col: str = "text") -> Column:
@@ -232,9 +234,5 @@ def firsts(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_BITS, shingle: int = SHINGLE, segments: tuple = SEGMENTS, scope: str = "default") -> DataFrame:
-    """One document of each component, with all its columns: the one with the smallest id
-    (any of equal rows; of a component without ids, the row with the smallest text)."""
-    found = near_duplicates(docs, id_col, text_col, most, shingle, segments, scope)
-    firsts = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct(F.col(id_col), "fp")).alias("f")).select("f.*")
-    kept = docs.join(firsts.select(F.col(id_col).alias("_id")), docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    """One document of each component, with all its columns (see ``firsts``)."""
+    return firsts(docs, near_duplicates(docs, id_col, text_col, most, shingle, segments, scope, digests=True), id_col, text_col)

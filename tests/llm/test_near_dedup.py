@@ -61,3 +61,14 @@ def test_stage_links_what_brute_force_links(spark):
     kept = corpus_pipeline.near_dedup(spark, docs, "")
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(min(g) for g in want)
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_representatives_without_or_with_repeated_ids(spark):
+    long = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcde"]
+    rows = [(None, long[0]), (None, long[0]), (None, long[1]), (None, long[2]), (7, long[3]), (7, long[4]), (8, long[4])]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for operator in (simhash, jaccard):
+        kept = sorted((r.text, r.doc_id) for r in operator.representatives(docs).collect())
+        assert kept == [(long[0], None), (long[1], None), (long[2], None), (long[3], 7), (long[4], 7)]
+        none = operator.representatives(docs.filter("doc_id is null")).collect()
+        assert sorted(r.text for r in none) == long[:3]
