@@ -37,6 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinlink.llm import jaccard
 from kinlink.llm.components import components
 from kinlink.llm.text import blobs, small_batches
 from kinlink.sources.shared import materialize
@@ -203,27 +204,34 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, f"`{id_col}` {id_type}, print binary")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, scope: str = "default") -> DataFrame:
+def _spanning(cls: np.ndarray, right: np.ndarray, prints: list[bytes], least: float) -> list[tuple[int, int]]:
+    """Links of one block (or of its left members with the right ones) that span its components."""
+    slots = np.frombuffer(b"".join(prints), np.uint8).reshape(-1, SLOTS)
+    jaccards = np.maximum(0.0, (np.arange(SLOTS + 1) / SLOTS - 1 / 256) / (1 - 1 / 256))
+    near = 2 * jaccards / (1 + jaccards) >= least
+    others = np.flatnonzero(right) if right.any() else np.arange(len(cls))
+    label, links = np.arange(len(cls)), []
+    for a in np.flatnonzero(~right):
+        for b in others[near[(slots[others] == slots[a]).sum(axis=1)]]:
+            if label[b] != label[a]:
+                links.append((int(cls[a]), int(cls[b])))
+                label[label == label[b]] = label[a]
+    return links
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, block: int = jaccard.BLOCK, scope: str = "default") -> DataFrame:
     """(id, group): documents whose fingerprints are linked by likeness of ``least`` or more.
 
-    Equal fingerprints are one class. Classes that share a band (BAND slots at one
-    place) are compared with the band's smallest class in a combinable way, so a
-    band that many share makes a star of links and never all its pairs.
+    Equal fingerprints are one class. All classes that share a band (BAND slots at one
+    place) are compared, block by block where many do; a task emits a spanning set of links.
     """
     rows = materialize(fingerprints(docs, id_col, text_col), "prints", scope)
     classes = rows.select("print").distinct().withColumn("fp", F.xxhash64("print"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(SLOTS // BAND - 1)), lambda k: F.struct(k.alias("k"), F.substring(F.col("print"), k * BAND + 1, F.lit(BAND)).alias("v")))
-    banded = classes.select("fp", "print", F.inline(bands))
-    heads = banded.groupBy("k", "v").agg(F.min(F.struct("fp", "print")).alias("head"), F.count("*").alias("n")).filter("n > 1")
-    pairs = banded.join(heads, ["k", "v"]).select("fp", "print", F.col("head.fp").alias("to"), F.col("head.print").alias("to_print")).filter("fp <> to").distinct()
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, p, b, q = (c.to_pylist() for c in batch.columns)
-            keep = [k for k in range(len(a)) if likeness(p[k], q[k]) >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], names=["a", "b"])
-
-    found = components(pairs.select("fp", "print", "to", "to_print").mapInArrow(verify, "a long, b long"), scope=scope)
+    some = classes.filter(F.col("print") != F.lit(bytes(SLOTS)))  # texts without characters are alike only to themselves
+    banded = some.select(F.col("fp").alias("cls"), F.inline(bands)).select("cls", F.xxhash64("k", "v").alias("key"))
+    places = jaccard.placed(banded, block).join(some.withColumnRenamed("fp", "cls"), "cls").select("key", "i", "j", "right", "cls", "print")
+    found = components(jaccard.compared(places, lambda cls, right, prints: _spanning(cls, right, prints, least)), scope=scope)
     out = rows.withColumn("fp", F.xxhash64("print")).join(found, F.col("fp") == F.col("node"), "left")
     return out.select(id_col, F.coalesce("root", "fp").alias("group"))
 

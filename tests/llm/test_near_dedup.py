@@ -4,7 +4,7 @@ import random
 from collections import defaultdict
 
 import corpus_pipeline
-from kinlink.llm import jaccard, simhash
+from kinlink.llm import editprint, jaccard, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -72,3 +72,25 @@ def test_representatives_without_or_with_repeated_ids(spark):
         assert kept == [(long[0], None), (long[1], None), (long[2], None), (long[3], 7), (long[4], 7)]
         none = operator.representatives(docs.filter("doc_id is null")).collect()
         assert sorted(r.text for r in none) == long[:3]
+
+
+def test_edit_groups_hold_every_pair_that_shares_a_band(spark):
+    rng = random.Random(11)
+    passage = " ".join(f"p{rng.randrange(10**4)}" for _ in range(120))
+    texts = []
+    for _ in range(60):
+        own = [f"q{rng.randrange(10**6)}" for _ in range(90)]
+        texts.append(f"{passage} {' '.join(own)}")
+        own[rng.randrange(90)] = "changed"
+        texts.append(f"{passage} {' '.join(own)}")
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3)
+    prints = editprint.Printer().prints(texts)
+    bands = [{(k, p[k : k + 4]) for k in range(0, editprint.SLOTS, 4)} for p in prints]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if bands[a] & bands[b] and editprint.likeness(prints[a], prints[b]) >= 0.8:
+                label = [label[b] if x == label[a] else x for x in label]
+    for block in (jaccard.BLOCK, 16):
+        group = {r.doc_id: r.group for r in editprint.near_groups(docs, block=block).collect()}
+        assert partition([group[k] for k in range(len(texts))]) == partition(label)
