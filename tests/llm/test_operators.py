@@ -287,38 +287,95 @@ def plain_loglik(chain, symbols):
     return total
 
 
-def test_chain_is_exact():
+def plain_expected(chain, symbols):
+    """One Baum-Welch step over a sequence, symbol by symbol."""
+    n, s = len(symbols), hmm.STATES + 1
+    forward, backward = [np.eye(s)[hmm.STATES]], [np.ones(s)]
+    for x in symbols:
+        a = (forward[-1] @ chain.moves) * chain.emits[x]
+        forward.append(a / a.sum())
+    for x in symbols[:0:-1]:
+        b = chain.moves @ (chain.emits[x] * backward[-1])
+        backward.append(b / b.sum())
+    backward = backward[::-1]
+    moves, emits = np.zeros((s, s)), np.zeros((len(chain.emits), hmm.STATES))
+    for t in range(n):
+        both = forward[t][:, None] * chain.moves * (chain.emits[symbols[t]] * backward[t])[None, :]
+        both /= both.sum()
+        moves += both
+        emits[symbols[t]] += both.sum(axis=0)[: hmm.STATES]
+    return moves, emits
+
+
+@pytest.mark.parametrize("chunk, window", [(hmm.CHUNK, hmm.WINDOW), (64, hmm.WINDOW), (64, 300), (7, 16)])
+def test_chain_is_exact(monkeypatch, chunk, window):
+    monkeypatch.setattr(hmm, "CHUNK", chunk)
+    monkeypatch.setattr(hmm, "WINDOW", window)
     rng = np.random.default_rng(2)
     chain = hmm.Chain.first(np.full(30, 1 / 30))
-    sequences = [rng.integers(0, 30, n).astype("<u2") for n in (1, 5, hmm.CHUNK, hmm.CHUNK + 1, 3 * hmm.CHUNK + 7, 2)]
-    want = [plain_loglik(chain, x) for x in sequences]
-    assert hmm.Batch(chain, sequences).loglik() == pytest.approx(want)
-    moves, emits = hmm.Batch(chain, sequences).expected()
-    assert emits.sum() == pytest.approx(sum(map(len, sequences))) and moves.sum() == pytest.approx(sum(map(len, sequences)))
-    long, hmm.WINDOW = hmm.WINDOW, 300
-    try:
-        assert hmm._loglik(chain, sequences) == pytest.approx(want)
-    finally:
-        hmm.WINDOW = long
-    before = sum(want)
+    chain = hmm.Chain(chain.moves, chain.emits * rng.gamma(1.0, 1.0, chain.emits.shape))
+    sequences = [rng.integers(0, 30, n).astype("<u2") for n in (1, 5, 64, 65, 700, 2, 300, 301)]
+    assert hmm._loglik(chain, sequences) == pytest.approx([plain_loglik(chain, x) for x in sequences])
+    moves, emits = hmm._expected(chain, sequences)
+    plain = [plain_expected(chain, x) for x in sequences]
+    assert moves == pytest.approx(sum(m for m, _ in plain), rel=1e-3, abs=1e-3)
+    assert emits == pytest.approx(sum(e for _, e in plain), rel=1e-3, abs=1e-3)
     better = chain.updated(moves, emits, np.full(30, 1 / 30))
     assert better.moves.sum(axis=1) == pytest.approx(np.ones(hmm.STATES + 1)) and better.emits.sum(axis=0)[:-1] == pytest.approx(np.ones(hmm.STATES))
-    assert isinstance(before, float)
 
 
-def test_hmm_scores(docs, nothing):
+def test_words_of_hmm():
+    texts = [None, "", " \n\t", "A b\x0ba  ", "É é", "x" * 40 + "End " + "x" * 40 + "end", "\u2028 a"]
+    n, which, keys = hmm.split(hmm.pa.array(texts))
+    want = [words(lower(t)) for t in texts]
+    found = iter(keys.to_pylist()[k] for k in which)
+    assert [[next(found) for _ in range(k)] for k in n] == [[hmm.key_of(w.encode()) for w in ws] for ws in want]
+    long = hmm.key_of(b"x" * 40 + b"end")
+    assert len(long) <= hmm.KEY_BYTES and hmm.class_of(long) == hmm.class_of(b"more than thatend")
+
+
+def test_most_frequent_words(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"w{k}".encode(), int(n)) for k, n in enumerate(np.r_[rng.integers(1, 9, 400), 4_096, 4_097, 9_000, 9_001, 10**12])]
+    counts = spark.createDataFrame(rows, "word binary, n long")
+    for most in (0, 1, 4, 60, 200, 1_000):
+        got = hmm._most_frequent(counts, most)
+        least = min((n for _, n in got), default=None)
+        assert len(got) <= most and got == sorted((r for r in rows if least is not None and r[1] >= least), key=lambda r: (-r[1], r[0]))
+    assert len(hmm._most_frequent(counts, 1_000)) == len(rows) and hmm._most_frequent(counts.limit(0), 5) == []
+
+
+@pytest.mark.parametrize("tabled, frequent", [(hmm.TABLED, hmm.FREQUENT), (40, 5), (0, 0)])
+def test_hmm_scores(monkeypatch, docs, tabled, frequent):
+    monkeypatch.setattr(hmm, "TABLED", tabled)
+    monkeypatch.setattr(hmm, "FREQUENT", frequent)
+    kept = {}
+    trained = hmm._trained
+    monkeypatch.setattr(hmm, "_trained", lambda *args: kept.setdefault("chain", trained(*args)))
     training = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 1
-    got = hmm.score(docs, training, rounds=2).collect()
+    got = hmm.score(docs, training, rounds=1).collect()
     taught = [r for r in ROWS if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 != 1]
     counts = Counter(w for r in taught for w in words(lower(r[1])))
     n, v = sum(counts.values()) + len(taught), len(counts) + 1
     one = lambda c: math.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+    ranked = sorted(counts, key=lambda w: (-counts[w], w.encode()))
+    listed = [w for w in ranked if sum(c >= counts[w] for c in counts.values()) <= tabled]
+    own = {w: k for k, w in enumerate(listed[:frequent])}
+    size = defaultdict(lambda: [0, 0])
+    for w in set(counts) - set(own):
+        size[hmm.class_of(w.encode())][0] += counts[w]
+        size[hmm.class_of(w.encode())][1] += 1
     want = Counter()
     for r in ROWS:
         w = words(lower(r[1]))
-        want[r[0], len(w) + 1, sum(x in counts for x in w) + 1, n, round(sum(one(counts[x]) for x in w) + one(len(taught)), 6)] += 1
-    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 for r in got)
+        symbols = [own[x] if x in own else len(own) + hmm.class_of(x.encode()) for x in w] + [len(own) + hmm.CLASSES]
+        share = sum(math.log10((counts[x] + 0.5) / (size[hmm.class_of(x.encode())][0] + 0.5 * (size[hmm.class_of(x.encode())][1] + 1))) for x in w if x not in own)
+        score = plain_loglik(kept["chain"], symbols) / math.log(10) + share
+        want[r[0], len(w) + 1, sum(x in counts for x in w) + 1, n, round(sum(one(counts[x]) for x in w) + one(len(taught)), 5), round(score, 5)] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got) == want
+
+
+def test_hmm_without_rows_to_learn_from(docs, nothing):
     assert hmm.score(nothing, F.lit(True), rounds=1).count() == 0
     assert hmm.score(docs, F.lit(False), rounds=1).count() == len(ROWS)
 
