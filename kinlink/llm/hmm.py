@@ -51,15 +51,15 @@ from kinlink.sources.shared import materialize
 STATES = 8
 FREQUENT, CLASSES = 16_384, 4_096
 #: Words in the broadcast table of counts, at most, and bytes of a word that is its own key.
-TABLED, KEY_BYTES = 262_144, 32
+TABLED, KEY_BYTES = 131_072, 32
 #: Training rounds, and emissions of the unigram distribution that are added to each state.
 ROUNDS, PRIOR = 5, 256.0
 #: Tokens of a chunk and of a batch of chunks that advance together, and steps between scalings.
-CHUNK, TOGETHER, SCALED = 16_384, 1 << 21, 8
+CHUNK, TOGETHER, SCALED = 16_384, 1 << 20, 8
 #: Tokens of a text that are held as arrays at a time.
 WINDOW = 1 << 20
 #: Bytes of text that are split at a time, and distinct words that a counting task holds.
-SPLIT_BYTES, HELD_WORDS = 1 << 24, 400_000
+SPLIT_BYTES, HELD_WORDS = 1 << 22, 200_000
 SCALE = 1 << 16
 
 
