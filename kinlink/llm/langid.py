@@ -3,17 +3,20 @@
 Method. A fixed public vocabulary of pieces is given. For every language, piece
 probabilities are fitted by expectation-maximisation over all segmentations of
 the training words; a word's probability in a language is the sum, by a forward
-recursion, over all ways to cut it into pieces. A text's words are runs of at
-most WORD_CHARS letters, lower-cased, with the vocabulary's word mark in front
-(no piece crosses words), so its likelihood is the product over its words. The
+recursion, over all ways to cut it into pieces. A text's words are whole runs of
+letters and their combining marks, lower-cased, with the vocabulary's word mark in
+front (no piece crosses words), so its likelihood is the product over its words.
+Words of more than SHORT characters (prose without spaces, say) go through a scaled
+recursion, window by window, that gives the same probability without underflow. The
 prediction is the language of highest likelihood, the score its posterior under
 a uniform prior. Whole texts are scored; ids, sources and labels never are inputs.
 
 Bounds. The model is fitted on at most TRAIN_DOCS documents a language, those
 with the smallest id hashes among the training rows, and holds (pieces x
 languages) doubles, whatever the input; at most MAX_LANGS languages. E-steps run
-on the executors over word counts; the driver sees piece counts only. Workers
-remember the likelihoods of at most MEMO_WORDS distinct words.
+on the executors over word counts; longer words train in units of SHORT characters,
+the word mark in the first alone. The driver sees the model's own size and no more.
+Workers remember the likelihoods of at most MEMO_WORDS distinct short words.
 
 Edge cases: null texts and texts without a letter give ``und`` with score 0;
 no training rows at all give ``und`` too; characters outside the vocabulary
@@ -24,6 +27,9 @@ first language by name).
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,13 +47,21 @@ from kinlink.sources.shared import materialize
 TRAIN_DOCS = 600
 MAX_LANGS = 400
 ROUNDS = 3
-WORD_CHARS = 32
+#: Characters up to which a word, or a unit of one in training, needs no scaling.
+SHORT = 32
+#: Positions of long words that are held at a time (by languages), and steps between scalings.
+LONG_WINDOW, LONG_DOUBLES, SCALED = 256, 2_000_000, 8
+#: Hash buckets of a language in which training documents are ranked first.
+RANK_BUCKETS = 64
+#: Pieces in a block of counts.
+BLOCK = 256
 MEMO_WORDS, MEMO_DOUBLES = 250_000, 4_000_000
 SMOOTHING = 0.05
 #: Probability of a character that no piece covers, and the word mark of the vocabulary.
 UNKNOWN = 1e-7
 MARK = "▁"
-WORD = re.compile(rf"[^\W\d_]{{1,{WORD_CHARS}}}")
+MARKS = "".join(chr(k) for k in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(k))[0] == "M")
+WORD = re.compile(rf"[^\W\d_]+(?:[{MARKS}]+[^\W\d_]*)*")
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -74,11 +88,12 @@ class Lattice:
         for k, p in enumerate(pieces):
             self.automaton.add_word(p, (k, len(p)))
         self.automaton.make_automaton()
+        self.longest = max(map(len, pieces), default=1)
 
     def build(self, words: list[str]) -> tuple[np.ndarray, ...]:
-        """Bounds of each word, and (start, end, piece) of every match; piece -1 is an unknown character."""
-        text = "".join([MARK + w + "\n" for w in words])
-        size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        """Bounds of each word (its mark included), and (start, end, piece) of every match; piece -1 is an unknown character."""
+        text = "".join([w + "\n" for w in words])
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
         first = np.r_[0, np.cumsum(size)[:-1]]
         last = first + size - 1
         got = [(e + 1, k, n) for e, (k, n) in self.automaton.iter(text)]
@@ -112,6 +127,51 @@ class Lattice:
         self._sum(alpha, start, end, weight, end - origin[start])
         return alpha[last], (first, last, start, end, piece, weight, alpha)
 
+    def long_logs(self, words: list[str], p: np.ndarray) -> np.ndarray:
+        """Log probability of each word in each language, for words of any length.
+
+        All words advance together, window by window; what a window hands on are the
+        last positions that a piece can start from, scaled now and then.
+        """
+        reach, langs = self.longest, p.shape[1]
+        weights = np.vstack([p, np.full((1, langs), UNKNOWN)])
+        out = np.empty((len(words), langs))
+        order = sorted(range(len(words)), key=lambda k: -len(words[k]))
+        many = max(1, LONG_DOUBLES // ((reach + LONG_WINDOW) * langs))
+        for a in range(0, len(order), many):
+            now = order[a : a + many]
+            size = np.array([len(words[k]) for k in now])
+            log, alpha = np.zeros((len(now), langs)), np.zeros((len(now), reach, langs))
+            alpha[:, -1] = 1.0
+            for base in range(0, int(size.max()), LONG_WINDOW):
+                live = int(np.searchsorted(-size, -base, side="left"))
+                low = max(0, base - reach + 1)
+                first, _, start, end, piece = self.build([words[k][low : base + LONG_WINDOW] for k in now[:live]])
+                word = np.searchsorted(first, start, side="right") - 1
+                step = end - first[word] + low - base  # positions from the window's begin
+                inside = step > 0
+                word, step, length, piece = word[inside], step[inside], (end - start)[inside], piece[inside]
+                by = np.lexsort((word, step))
+                word, step, length, piece = word[by], step[by], length[by], piece[by]
+                alpha = np.concatenate([alpha[:live], np.zeros((live, LONG_WINDOW, langs))], axis=1)
+                cuts = np.searchsorted(step, np.arange(1, LONG_WINDOW + 2))
+                for j in range(1, min(LONG_WINDOW, int(size[0]) - base) + 1):
+                    m, x, y = int(np.searchsorted(-size, -(base + j), side="right")), cuts[j - 1], cuts[j]
+                    place = reach - 1 + j
+                    w = word[x:y]
+                    heads = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+                    alpha[w[heads], place] = np.add.reduceat(alpha[w, place - length[x:y]] * weights[piece[x:y]], heads, axis=0)
+                    done = np.flatnonzero(size[:m] == base + j)
+                    if len(done):
+                        out[[now[k] for k in done]] = np.log(alpha[done, place]) + log[done]
+                    if j % SCALED == 0:
+                        held = alpha[:m, place - reach + 1 : place + 1]
+                        most = held.max(axis=1)
+                        held /= most[:, None]
+                        log[:m] += np.log(most)
+                alpha = alpha[:, -reach:]
+        return out
+
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected piece counts (pieces x langs), given how often each language has each word."""
         total, (first, last, start, end, piece, weight, alpha) = self.forward(words, p)
@@ -125,8 +185,15 @@ class Lattice:
         return np.stack([np.bincount(piece[known], share[known, k], minlength=len(p)) for k in range(p.shape[1])], axis=1)
 
 
-def _words(data: bytes) -> list[str]:
-    return WORD.findall(data.decode("utf-8", "replace").lower())
+def words_of(text: str) -> list[str]:
+    """Lower-cased runs of letters and their marks, each behind the word mark."""
+    return [MARK + w for w in WORD.findall(text.lower())]
+
+
+def _units(data: bytes) -> Iterator[str]:
+    """Training units of a text."""
+    for w in words_of(data.decode("utf-8", "replace")):
+        yield from (w[at : at + SHORT] for at in range(0, len(w), SHORT))
 
 
 def _word_counts(sample: DataFrame) -> DataFrame:
@@ -136,13 +203,27 @@ def _word_counts(sample: DataFrame) -> DataFrame:
         for batch in batches:
             counts: Counter = Counter()
             for lang, data in zip(batch.column(0).to_pylist(), blobs(batch.column(1))):
-                counts.update((lang, w) for w in _words(data))
+                counts.update((lang, w) for w in _units(data))
             if counts:
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts]), pa.array([k[1] for k in counts]), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
 
     return sample.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(np.rint(counts * 2**20).astype(np.int64).tobytes(), 1)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of whole counts, summed by block."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, packed in zip(batch.column(0).to_pylist(), blobs(batch.column(1))):
+            sums[at] = sums.get(at, 0) + np.frombuffer(zlib.decompress(packed), np.int64)
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(n.tobytes(), 1) for n in sums.values()], pa.binary())], names=["block", "n"])
+
+
 def fit(docs: DataFrame, pieces: list[str], training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rounds: int = ROUNDS, scope: str = "default") -> LanguageModel:
     """Piece probabilities by language from a bounded sample of the rows where ``training`` holds."""
     spark = docs.sparkSession
@@ -154,8 +235,12 @@ def fit(docs: DataFrame, pieces: list[str], training: Column, id_col: str = "doc
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not langs:
         return LanguageModel((), (), np.zeros((0, 0)))
-    first = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = ids.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= TRAIN_DOCS).select("_lang", "_id")
+    # ranked in buckets first, so that a language that holds most rows is no single task's work
+    ids = ids.withColumn("_bucket", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(RANK_BUCKETS)))
+    for groups in (["_lang", "_bucket"], ["_lang"]):
+        first = Window.partitionBy(*groups).orderBy(F.xxhash64("_id"), "_id")
+        ids = ids.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= TRAIN_DOCS)
+    chosen = ids.select("_lang", "_id")
     texts = labelled.select(F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     sample = texts.join(F.broadcast(chosen), ["_lang", "_id"], "left_semi").select("_lang", "_text")  # at most TRAIN_DOCS x MAX_LANGS ids
     number = {lang: k for k, lang in enumerate(langs)}
@@ -176,12 +261,13 @@ def fit(docs: DataFrame, pieces: list[str], training: Column, id_col: str = "doc
                         for x in entries:
                             n[k, number[x["lang"]]] = x["n"]
                     total += lattice.expected(words[at : at + 4_096], n, now)
-            piece, lang = np.nonzero(total > 1e-6)
-            yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()), pa.array(np.rint(total[piece, lang] * 2**20), pa.float64()).cast(pa.int64())], names=["piece", "lang", "n"])
+            for at in range(0, len(total), BLOCK):
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([_packed(total[at : at + BLOCK])], pa.binary())], names=["block", "n"])
 
         total = np.zeros(p.shape)
-        for piece, lang, n in counts.mapInArrow(run, "piece int, lang int, n long").groupBy("piece", "lang").agg(F.sum("n")).collect():
-            total[piece, lang] = n / 2**20
+        blocks = counts.mapInArrow(run, "block int, n binary").repartition(min(64, -(-len(p) // BLOCK)), "block")
+        for at, packed in blocks.mapInArrow(_summed, "block int, n binary").collect():  # pieces x languages, fixed by the parameters
+            total[at : at + BLOCK] = np.frombuffer(zlib.decompress(packed), np.int64).reshape(-1, len(langs)) / 2**20
         used = (total > 1e-4).any(axis=1) | np.array([len(x) == 1 for x in pieces])
         pieces, total = [x for x, u in zip(pieces, used) if u], total[used] + SMOOTHING
         p = total / total.sum(axis=0)
@@ -211,18 +297,22 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
         for batch in batches:
             lang, score = [], []
             texts = [data.decode("utf-8", "replace") for data in blobs(batch.column(1))]
-            split = [WORD.findall(t.lower()) for t in texts] if m.langs else []
+            parts = [words_of(t) for t in texts] if m.langs else []
+            distinct = set().union(*parts)
+            lengthy = [w for w in distinct if len(w) > SHORT]
+            longer = dict(zip(lengthy, lattice.long_logs(lengthy, m.probabilities))) if lengthy else {}
+            distinct.difference_update(lengthy)
             table = memo
-            if split:
-                new = list(set().union(*split).difference(known))
+            if distinct:
+                new = list(distinct.difference(known))
                 if len(known) + len(new) > len(memo):
                     known.clear()
-                    new = list(set().union(*split))
+                    new = list(distinct)
                 if len(new) > len(memo):  # this batch alone has more words than the memo holds
                     table = np.zeros((len(new), len(m.langs)))
                 for at in range(0, len(new), 4_096):
                     part = new[at : at + 4_096]
-                    rows = np.log(np.maximum(lattice.forward(part, m.probabilities)[0], 1e-300))
+                    rows = np.log(lattice.forward(part, m.probabilities)[0])
                     table[len(known) : len(known) + len(part)] = rows
                     known.update(zip(part, range(len(known), len(known) + len(part))))
             for k, text in enumerate(texts):
@@ -230,8 +320,10 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
                     lang.append("und")
                     score.append(0.0)
                     continue
-                words = split[k]
+                words = [w for w in parts[k] if w not in longer] if longer else parts[k]
                 total = table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
+                if len(words) < len(parts[k]):
+                    total = total + sum(longer[w] for w in parts[k] if w in longer)
                 best = int(total.argmax())
                 lang.append(m.langs[best])
                 score.append(float(1.0 / np.exp(total - total[best]).sum()))

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -115,6 +116,25 @@ def test_line_dedup(docs, nothing):
     assert linededup.dedup(nothing).count() == 0
 
 
+def test_line_filters_find_every_repeat(spark):
+    rng = np.random.default_rng(8)
+    lines = [f"line {k} that is long enough to count" for k in range(400)]
+    rows = [(k, "\n".join(lines[i] for i in rng.integers(0, 400, 3)) + "\neverybody holds this line here") for k in range(300)] + [(None, lines[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    holders = defaultdict(set)
+    for number, (_, text) in enumerate(rows):
+        for line in text.split("\n"):
+            holders[hashlib.md5(line.encode()).digest()].add(number)
+    want = Counter()
+    for d, held in holders.items():
+        keeper = max(-1 if rows[i][0] is None else rows[i][0] for i in held)
+        want.update((rows[i][0], d) for i in held if len(held) >= 3 and (rows[i][0] is None or rows[i][0] != keeper))
+    # the smallest filters suspect nearly every line, and hundreds of shards hold a few lines each
+    for bits in (linededup.SHARD_BITS, 512, 64):
+        got = linededup.repeated_lines(docs, bits=bits).collect()
+        assert Counter((r._id, bytes(d)) for r in got for d in r.drops) == want
+
+
 def plain_fingerprint(text, n=4):
     w = SPACE.findall(lower(text))
     if not w:
@@ -253,25 +273,59 @@ def test_urls_of_empty_table(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def test_language_model(spark):
-    lattice = langid.Lattice(("▁", "a", "b", "ab", "▁a"))
+def plain_word(word, pieces, p):
+    """Probability of a word in one language, by exact arithmetic over all segmentations."""
+    alpha = [Fraction(1)]
+    for end in range(1, len(word) + 1):
+        found = [(n, Fraction(p[pieces.index(word[end - n : end])])) for n in range(1, end + 1) if word[end - n : end] in pieces]
+        if word[end - 1] not in pieces:
+            found.append((1, Fraction(langid.UNKNOWN)))
+        alpha.append(sum(alpha[end - n] * x for n, x in found))
+    return alpha[-1]
+
+
+def log_of(x):
+    return math.log(x.numerator) - math.log(x.denominator)
+
+
+def test_language_model():
+    pieces = ("▁", "a", "b", "ab", "▁a")
+    lattice = langid.Lattice(pieces)
     p = np.array([[0.2], [0.3], [0.1], [0.25], [0.15]])
-    got = lattice.forward(["ab", "b", "aéb"], p)[0][:, 0]
+    got = lattice.forward(["▁ab", "▁b", "▁aéb"], p)[0][:, 0]
     assert got == pytest.approx([0.2 * 0.3 * 0.1 + 0.2 * 0.25 + 0.15 * 0.1, 0.2 * 0.1, (0.2 * 0.3 + 0.15) * langid.UNKNOWN * 0.1])
-    counts = lattice.expected(["ab"], np.array([[1.0]]), p)[:, 0]
+    counts = lattice.expected(["▁ab"], np.array([[1.0]]), p)[:, 0]
     paths = {(0, 1, 2): 0.006, (0, 3): 0.05, (4, 2): 0.015}
     assert counts == pytest.approx([sum(v for k, v in paths.items() if i in k) / 0.071 for i in range(5)])
-    assert lattice.forward(["ab", "b"], p)[0][:, 0] == pytest.approx(got[:2])
+    assert lattice.forward(["▁ab", "▁b"], p)[0][:, 0] == pytest.approx(got[:2])
+
+
+def test_long_words_are_whole(monkeypatch):
+    pieces = ("▁", "a", "b", "ab", "▁a", "abba", "bab")
+    lattice, rng = langid.Lattice(pieces), np.random.default_rng(6)
+    p = rng.dirichlet(np.ones(len(pieces)), 3).T
+    words = ["▁" + "".join(rng.choice(list("abé"), n)) for n in (1, 5, 31, 32, 33, 255, 256, 257, 600)] + ["▁" + "é" * 300]
+    want = [[log_of(plain_word(w, pieces, p[:, k])) for k in range(3)] for w in words]
+    for doubles in (langid.LONG_DOUBLES, 2_000):
+        monkeypatch.setattr(langid, "LONG_DOUBLES", doubles)
+        assert np.allclose(lattice.long_logs(words, p), want, rtol=1e-9)
+    short = [w for w in words if len(w) <= langid.SHORT]
+    assert np.allclose(np.log(lattice.forward(short, p)[0]), want[: len(short)], rtol=1e-9)
+
+
+def test_words_of_language_id():
+    assert langid.words_of("Ab1c_d e\u0301e\u0301 हिन्दी ไทยยาว" + "語" * 50) == ["▁ab", "▁c", "▁d", "▁e\u0301e\u0301", "▁हिन्दी", "▁ไทยยาว" + "語" * 50]
 
 
 def test_language_id(spark, docs, nothing):
     pieces = langid.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     rows = [(k, ("the weather is rather nice today", "das wetter ist heute ziemlich schön")[k % 2], ("en", "de")[k % 2]) for k in range(40)] + [(90, None, "en"), (91, "12 !", "de"), (92, "", None), (93, "the nice weather", None), (93, "the nice weather", None)]
+    rows += [(200, "thenice" * 20_000, "en"), (201, "dasschöne" * 300 + " ist " * 3_000, None)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
     model = langid.fit(table, pieces, F.col("doc_id") % 4 != 2)
     got = langid.predict(table, model).collect()
     assert all(r.lang_pred == ("en", "de")[r.doc_id % 2] and r.score > 0.9 for r in got if r.doc_id < 40)
-    assert {(r.doc_id, r.lang_pred) for r in got if r.doc_id >= 90} == {(90, "und"), (91, "und"), (92, "und"), (93, "en")} and len(got) == len(rows)
+    assert {(r.doc_id, r.lang_pred) for r in got if r.doc_id >= 90} == {(90, "und"), (91, "und"), (92, "und"), (93, "en"), (200, "en"), (201, "de")} and len(got) == len(rows)
     assert langid.predict(nothing, model).count() == 0
     empty = langid.fit(nothing, pieces, F.lit(True))
     assert {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
