@@ -1,17 +1,19 @@
 """Line dedup with two Bloom filters.
 
-Method. A first pass over all lines feeds two Bloom filters, one of line hashes
-seen once and one of hashes seen again. Each task drops repeats within its own
-rows and ships only bit positions (12 bytes a distinct line) to the filters'
-shards; a shard's task streams them into its two bitmaps and returns the second.
-The filters' size follows the input up to MAX_SHARDS (64 x 512 KB), which bounds
-what is broadcast; a fuller filter only suspects more. A second pass emits the
-128-bit digests of suspected lines alone; counting them exactly confirms repeats
-and chooses the holder that keeps the line.
-
-Skew. A line that a third of all documents hold is one position a task in the
-first pass and a combinable count in the second; the join that hands decisions
-back is a plain equi-join that adaptive execution may split. Texts move once.
+Method. Lines are dealt to shards by their digests, and each shard has two Bloom
+filters, one of lines seen once and one of lines seen again. The number of shards
+follows the input (LINE_BITS filter bits for each expected line), so filters never
+fill up and none is broadcast: a shard's task streams its digests into its filters,
+and a second stream tests the shard's lines against the filter of repeats. Only the
+lines that it suspects are shuffled for exact confirmation by 128-bit digest and for
+the choice of the holder that keeps the line. An overfull filter (lines far shorter
+than LINE_BYTES) only suspects more.
+
+Skew. A task ships a line once, however many of its documents hold it: what it sees
+again itself is suspected at once. So a line that a third of all documents hold is
+one row a task at its shard and a combinable count in the confirmation; the join that
+hands decisions back is a plain equi-join that adaptive execution may split. Texts
+move once.
 
 Edge cases: null and empty texts are one empty line; a document holds a key once
 however often it repeats it, and all its lines with that key go; rows count as
@@ -31,15 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.llm.text import SPACE, SPACE_BYTES, ascii_lower, blobs, carried, small_batches, unpacked
-from kinlink.sources.shared import materialize
+from kinlink.sources.shared import discard, materialize
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-SHARD_BITS = 1 << 22
-MAX_SHARDS = 64
+#: Bits of each of a shard's filters.
+SHARD_BITS = 1 << 23
 #: Filter bits for each expected line, and bytes of text for each expected line.
 LINE_BITS, LINE_BYTES = 8, 64
-#: Distinct lines that a task holds before it ships their positions.
+#: Distinct lines that a task holds before it ships them.
 HELD_LINES = 300_000
 
 
@@ -49,39 +51,65 @@ def line_digests(data: bytes, min_chars: int = MIN_CHARS) -> set[bytes]:
     return {hashlib.md5(k).digest() for k in keys if len(k) >= min_chars and (len(k) >= 4 * min_chars or len(k.decode("utf-8", "replace")) >= min_chars)}
 
 
-def _places(digests: list[bytes], shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shard of each digest and its three bits there."""
-    words = np.frombuffer(b"".join(digests), dtype="<u4").reshape(-1, 4)
-    return words[:, 0] % np.uint32(shards), words[:, 1:] % np.uint32(SHARD_BITS)
+def _places(digests: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word of each digest and its three bits in a filter of its shard."""
+    words = np.frombuffer(b"".join(blobs(digests)), dtype="<u4").reshape(-1, 4)
+    return words[:, 0].astype(np.uint64) << np.uint64(32) | words[:, 1], words[:, 1:] % np.uint32(bits)
 
 
-def _positions(texts: DataFrame, shards: int, min_chars: int) -> DataFrame:
-    """(shard, once, again): packed positions of the lines that a task has seen once, and more often."""
-
-    def ship(seen: dict[bytes, bool]) -> Iterator[pa.RecordBatch]:
-        digests = list(seen)
-        shard, bits = _places(digests, shards)
-        again = np.fromiter(seen.values(), dtype=bool, count=len(seen))
-        rows = [(int(s), bits[(shard == s) & ~again].tobytes(), bits[(shard == s) & again].tobytes()) for s in np.unique(shard)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "once", "again"])
+def _shipped(docs: DataFrame, shards: int, min_chars: int, id_col: str) -> DataFrame:
+    """(shard, _id, digest, again): lines that a task has seen in one document, once each with it; lines that it has
+    seen in more, once without it; and each holder of the latter as a suspect, in shard -1."""
+    id_type = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, bool] = {}
-        for batch in batches:
-            for data in blobs(batch.column(0)):
-                for d in line_digests(data, min_chars):
-                    seen[d] = d in seen
-            if len(seen) > HELD_LINES:
-                yield from ship(seen)
-                seen.clear()
-        if seen:
-            yield from ship(seen)
+        first: dict[bytes, object] = {}
+        again: set[bytes] = set()
 
-    return texts.mapInArrow(run, "shard int, once binary, again binary")
+        def out(shard: list[int], ids: list, digests: list[bytes], repeated: list[bool], kind: pa.DataType) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(ids, kind), pa.array(digests, pa.binary()), pa.array(repeated)], names=["shard", "_id", "digest", "again"])
 
+        def ship(kind: pa.DataType) -> pa.RecordBatch:
+            digests = list(first)
+            shard = (np.frombuffer(b"".join(digests), "<u4").reshape(-1, 4)[:, 0] % np.uint32(shards)).tolist()
+            repeated = [d in again for d in digests]
+            return out(shard, [None if r else first[d] for d, r in zip(digests, repeated)], digests, repeated, kind)
 
-def _second_filter(positions: DataFrame, shards: int) -> DataFrame:
-    """(shard, bits): compressed bitmaps of what was seen again."""
+        for batch in batches:
+            kind, ids, suspects = batch.schema.field(0).type, [], []
+            for k, data in zip(batch.column(0).to_pylist(), blobs(batch.column(1))):
+                for d in line_digests(data, min_chars):
+                    if d not in first:
+                        first[d] = k
+                        continue
+                    if d not in again:
+                        again.add(d)
+                        ids.append(first[d])
+                        suspects.append(d)
+                    ids.append(k)
+                    suspects.append(d)
+            if suspects:
+                yield out([-1] * len(ids), ids, suspects, [True] * len(ids), kind)
+            if len(first) > HELD_LINES:
+                yield ship(kind)
+                first.clear()
+                again.clear()
+        if first:
+            yield ship(kind)
+
+    return docs.select(F.col(id_col), F.col("_text")).mapInArrow(run, f"shard int, _id {id_type.simpleString()}, digest binary, again boolean")
+
+
+def _spans(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Runs of equal shards."""
+    cuts = np.r_[0, np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(shard)]
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if a < b:
+            yield int(shard[a]), slice(a, b)
+
+
+def _second_filters(shipped: DataFrame, bits: int) -> DataFrame:
+    """(shard, bits): compressed bitmaps of the lines seen again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, once, twice = None, None, None
@@ -90,65 +118,60 @@ def _second_filter(positions: DataFrame, shards: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(np.packbits(twice).tobytes(), 1)], pa.binary())], names=["shard", "bits"])
 
         for batch in batches:
-            for s, first, more in zip(*(c.to_pylist() for c in batch.columns)):
+            again = batch.column(2).to_numpy(zero_copy_only=False)
+            for s, span in _spans(batch.column(0).to_numpy()):
                 if s != now:
                     if now is not None:
                         yield done()
-                    now, once, twice = s, np.zeros(SHARD_BITS, bool), np.zeros(SHARD_BITS, bool)
-                bits = np.frombuffer(first, "<u4").reshape(-1, 3)
-                before = once[bits].all(axis=1)
-                twice[bits[before]] = True
-                once[bits] = True
-                bits = np.frombuffer(more, "<u4").reshape(-1, 3)
-                once[bits] = True
-                twice[bits] = True
+                    now, once, twice = s, np.zeros(bits, bool), np.zeros(bits, bool)
+                head, at = _places(batch.column(1)[span], bits)
+                _, which, times = np.unique(head, return_inverse=True, return_counts=True)
+                before = again[span] | (times[which] > 1) | once[at].all(axis=1)
+                once[at] = True
+                twice[at[before]] = True
         if now is not None:
             yield done()
 
-    return positions.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, bits binary")
+    rows = shipped.filter("shard >= 0").select("shard", "digest", "again")
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, bits binary")
 
 
-def _suspects(docs: DataFrame, shared, shards: int, min_chars: int, id_col: str) -> DataFrame:
-    """(_id, digest) of the lines that the second filter holds, once for each document."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+def _suspects(shipped: DataFrame, filters: DataFrame, bits: int) -> DataFrame:
+    """(_id, digest) of the lines that tasks or the second filters have seen again, once for each document."""
+    id_type = shipped.schema["_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmaps = [np.frombuffer(zlib.decompress(b), np.uint8) if b else None for b in shared.value]
+        now, bitmap = None, None
         for batch in batches:
-            owner, digests = [], []
-            for k, data in enumerate(blobs(batch.column(1))):
-                got = line_digests(data, min_chars)
-                digests.extend(got)
-                owner.extend([k] * len(got))
-            if not digests:
-                continue
-            shard, bits = _places(digests, shards)
-            hit = np.zeros(len(digests), bool)
-            for s in np.unique(shard):
-                if bitmaps[s] is not None:
-                    mine = np.flatnonzero(shard == s)
-                    at = bits[mine]
-                    hit[mine] = ((bitmaps[s][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
-            chosen = np.flatnonzero(hit)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(owner, np.int64)[chosen])), pa.array([digests[i] for i in chosen], pa.binary())], names=["_id", "digest"])
-
-    return docs.select(F.col(id_col), F.col("_text")).mapInArrow(run, f"_id {id_type}, digest binary")
-
-
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, scope: str = "default") -> DataFrame:
+            for s, span in _spans(batch.column(0).to_numpy()):
+                part = batch.slice(span.start, span.stop - span.start)
+                if s != now:  # a shard's filter comes before its lines
+                    now, bitmap = s, np.frombuffer(zlib.decompress(part.column(3)[0].as_py()), np.uint8)
+                    part = part.slice(1)
+                if not part.num_rows:
+                    continue
+                _, at = _places(part.column(2), bits)
+                hit = ((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(hit)) for k in (1, 2)], names=["_id", "digest"])
+
+    lines = shipped.filter("shard >= 0 and not again").select("shard", "_id", "digest", F.lit(None).cast("binary").alias("bits"))
+    both = filters.select("shard", F.lit(None).cast(id_type).alias("_id"), F.lit(None).cast("binary").alias("digest"), "bits").union(lines)
+    tested = both.repartition("shard").sortWithinPartitions("shard", F.col("bits").isNull()).mapInArrow(run, f"_id {id_type.simpleString()}, digest binary")
+    return shipped.filter("shard < 0").select("_id", "digest").union(tested)
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, scope: str = "default", bits: int = SHARD_BITS) -> DataFrame:
     """(_id, drops): the digests of the lines that each document loses."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
     total = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    shards = 1
-    while shards < MAX_SHARDS and shards * SHARD_BITS < total // LINE_BYTES * LINE_BITS:
-        shards *= 2
-    bitmaps: list[bytes | None] = [None] * shards
-    for s, bits in _second_filter(_positions(texts.select("_text"), shards, min_chars), shards).collect():
-        bitmaps[s] = bytes(bits)
-    shared = spark.sparkContext.broadcast(bitmaps)
-    suspects = materialize(_suspects(texts, shared, shards, min_chars, id_col), "suspects", scope)
+    shards = max(1, -(-total * LINE_BITS // (LINE_BYTES * bits)))
+    shipped = materialize(_shipped(texts, shards, min_chars, id_col), "lines", scope)
+    filters = materialize(_second_filters(shipped, bits), "filters", scope)
+    suspects = materialize(_suspects(shipped, filters, bits), "suspects", scope)
+    for done in (shipped, filters):
+        discard(done)
     # written, so that both sides of the join are plain exchanges, whose hot digests Spark can split
     confirmed = materialize(suspects.groupBy("digest").agg(F.count("*").alias("n"), F.max("_id").alias("keeper")).filter(F.col("n") >= min_docs), "confirmed", scope)
     losers = suspects.join(confirmed, "digest").filter(~F.col("_id").eqNullSafe(F.col("keeper")))
