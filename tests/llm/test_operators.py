@@ -203,16 +203,65 @@ def test_components(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
-def test_targets_and_seats():
-    assert mixing.targets([("b", 100), ("a", 100), (None, 100)]) == pytest.approx({"a": 200.0, "b": 83.3333333, None: 166.6666667})
-    assert mixing.targets([]) == {} and mixing.targets([("a", 0)]) == {"a": 0.0}
+def plain_targets(sizes):
+    """Targets by weight, stopped at the cap, the excess shared again until none is above."""
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {x: (3, 1, 2)[i % 3] for i, x in enumerate(order)}
+    left, open_, out = 1.5 * sum(sizes.values()), set(order), {}
+    while open_:
+        level = left / sum(weight[x] for x in open_)
+        full = {x for x in open_ if level * weight[x] > 2 * sizes[x]}
+        if not full:
+            return out | {x: level * weight[x] for x in open_}
+        out |= {x: 2.0 * sizes[x] for x in full}
+        left, open_ = left - sum(2 * sizes[x] for x in full), open_ - full
+    return out
+
+
+def plain_seats(w, seats):
+    out = np.zeros(len(w), int)
+    for _ in range(seats if np.any(w) else 0):
+        out[np.argmax(w / (2 * out + 1))] += 1
+    return out.tolist()
+
+
+def test_targets_and_seats(spark, monkeypatch):
+    schema = "_source string, source_size long, docs long"
     rng = np.random.default_rng(3)
+    cases = [{"b": 100, "a": 100, None: 100}, {}, {"a": 0}, {"a": 0, "b": 7}, {"x": 160, "y": 160, "z": 160, "Z": 160, "é": 1}]
+    cases += [{f"s{k}": int(n) for k, n in enumerate(rng.pareto(0.7, 60) * 40)}]
+    for sizes in cases:
+        for few in (mixing.FEW, 0):  # 0: the factor is narrowed as far as it goes
+            monkeypatch.setattr(mixing, "FEW", few)
+            table = spark.createDataFrame([(k, n, 1) for k, n in sizes.items()], schema).repartition(3)
+            goals, total = mixing.targets(table)
+            got = sorted(mixing.source_blocks(goals, total).collect(), key=lambda r: r["rank"])
+            want = plain_targets(sizes)
+            assert {r["_source"]: r["target"] for r in got} == pytest.approx(want) and [r["rank"] for r in got] == list(range(len(sizes)))
+            assert [r["_source"] for r in got] == sorted(sizes, key=lambda x: (x is None, x or "")) and total == pytest.approx(sum(want.values()))
+            assert [r["_blocks"] for r in got] == plain_seats(np.array([r["target"] for r in got]), int(total / mixing.BLOCK + 0.5))
     for _ in range(30):
         w, seats = rng.integers(0, 50, 7).astype(float), int(rng.integers(0, 60))
-        plain = np.zeros(7, int)
-        for _ in range(seats if w.any() else 0):
-            plain[np.argmax(w / (2 * plain + 1))] += 1
-        assert mixing.sainte_lague(w, seats).tolist() == plain.tolist()
+        assert mixing.sainte_lague(w, seats).tolist() == plain_seats(w, seats)
+        given = mixing.shared_out(w, 3 * seats)
+        assert given.sum() == min(3 * seats, 2 * w.sum()) and (given <= 2 * w).all()
+
+
+@pytest.mark.parametrize("shard_docs, group", [(2, 2), (3, 1_024)])
+def test_mix_takes_what_the_quotas_say(spark, docs, monkeypatch, shard_docs, group):
+    monkeypatch.setattr(mixing, "SHARD_DOCS", shard_docs)
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", group)
+    got = mixing.mix(docs).collect()
+    source = {x[0]: x[3] for x in ROWS}
+    taken, goal, size = Counter(), {}, Counter()
+    for r in got:
+        assert 0 <= r.taken <= 2 * r["size"]
+        taken[source[r.doc_id]] += r.taken
+        size[source[r.doc_id]] += r["size"]
+        goal[source[r.doc_id]] = r.target
+    order = sorted(goal, key=lambda x: (x is None, x or ""))
+    blocks = plain_seats(np.array([goal[x] for x in order]), int(sum(goal.values()) / mixing.BLOCK + 0.5))
+    assert [taken[x] for x in order] == [min(16 * b, 2 * size[x]) for x, b in zip(order, blocks)]
 
 
 def test_mix(spark, docs, nothing):
@@ -225,7 +274,7 @@ def test_mix(spark, docs, nothing):
         taken[source] += r.taken
         target[source] = r.target
         assert r.source_size == sum(len(words(x[1])) for x in ROWS if x[3] == source)
-    assert target == pytest.approx(mixing.targets(list(size.items())))
+    assert target == pytest.approx(plain_targets(dict(size)))
     assert all(abs(taken[s] - target[s]) <= 2 * mixing.BLOCK for s in target)
     assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(docs.repartition(5)).collect()))
     mixed = mixing.mixed(docs)
