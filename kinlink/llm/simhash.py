@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.llm.components import components
-from kinlink.llm.text import blobs, small_batches
+from kinlink.llm.text import blobs, carried, small_batches, unpacked
 from kinlink.sources.shared import materialize
 
 SHINGLE = 4
@@ -226,11 +226,12 @@ def digest(text_col: str = "text") -> Column:
 def firsts(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each root of ``found`` (id, digest, root): the smallest id, null last, then the
     smallest text digest; any of rows that are equal in both."""
+    key = lambda i, d: F.concat(d, F.coalesce(F.concat(F.lit("="), i.cast("string")), F.lit("")))
     best = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), "digest")).alias("f"))
-    best = best.select(F.col("f.id").alias("_first_id"), F.col("f.digest").alias("_first_digest"))
-    kept = docs.withColumn("_digest", digest(text_col))
-    kept = kept.join(best, F.col(id_col).eqNullSafe(F.col("_first_id")) & (F.col("_digest") == F.col("_first_digest")), "left_semi")
-    return kept.dropDuplicates([id_col, "_digest"]).drop("_digest")
+    best = best.select(key(F.col("f.id"), F.col("f.digest")).alias("_first"))
+    # the join leaves the rows dealt by their key, as the last step needs them: texts move once
+    kept = carried(docs, _first=key(F.col(id_col), digest(text_col))).join(best.hint("merge"), "_first", "left_semi")
+    return unpacked(kept.dropDuplicates(["_first"]), docs.columns)
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_BITS, shingle: int = SHINGLE, segments: tuple = SEGMENTS, scope: str = "default") -> DataFrame:
