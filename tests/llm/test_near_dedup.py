@@ -74,23 +74,96 @@ def test_representatives_without_or_with_repeated_ids(spark):
         assert sorted(r.text for r in none) == long[:3]
 
 
-def test_edit_groups_hold_every_pair_that_shares_a_band(spark):
+def plain_print(text):
+    """The fingerprint by its definition, character by character."""
+    if not text:
+        return editprint.EMPTY
+    codes, n = [ord(c) for c in text], len(text)
+    padded = codes + [0x110000] * editprint.CONTEXT
+    steps, bits = editprint.steps_of(n), editprint.shared_bits()
+    top = steps.bit_length() - 1
+    out = bytearray([top + 1])
+    for walk in range(editprint.WALKS):
+        pointer, at = [], 0
+        for j in range(steps):
+            pointer.append(at)
+            if at < n:
+                kind = ((codes[at] * 0x9E3779B1 % 2**32) >> 16) % 255
+                at += int(bits[j % editprint.PERIOD, kind]) >> walk & 1
+        assert at == n
+        for block, number in editprint.places(top):
+            j = editprint.drawn(block)[number]
+            if j >= steps or pointer[j] == n:
+                out.append(0)
+                continue
+            h = 0
+            for code in padded[pointer[j] : pointer[j] + editprint.CONTEXT]:
+                h = (h ^ code) * 0x85EBCA6B % 2**32
+            h ^= h >> 15
+            out.append(1 + h % 255)
+    return bytes(out)
+
+
+def edit_corpus():
     rng = random.Random(11)
     passage = " ".join(f"p{rng.randrange(10**4)}" for _ in range(120))
-    texts = []
-    for _ in range(60):
+    texts = [None, "", "x", "xy", "Ümlaut 🙂", "x" * 3_000]
+    for k in range(60):
         own = [f"q{rng.randrange(10**6)}" for _ in range(90)]
         texts.append(f"{passage} {' '.join(own)}")
         own[rng.randrange(90)] = "changed"
         texts.append(f"{passage} {' '.join(own)}")
+    return texts
+
+
+def test_fingerprints_are_sampled_walk_positions(monkeypatch):
+    texts = [t or "" for t in edit_corpus()][:40]
+    want = [plain_print(t) for t in texts]
+    assert editprint.prints(texts) == want
+    for many in (1, 7, 10**6):  # all together, some, and one by one
+        monkeypatch.setattr(editprint, "MANY", many)
+        assert editprint.prints(texts) == want and editprint.prints(texts[:1] + texts[5:6]) == [want[0], want[5]]
+
+
+def test_likeness_follows_edits():
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(900, 4_000))) for _ in range(150)]
+
+    def changed(text, edits):
+        chars = list(text)
+        for _ in range(edits):
+            at = rng.randrange(len(chars))
+            chars[at : at + 1] = rng.choice(([], ["#"], ["#", chars[at]]))
+        return "".join(chars)
+
+    found = {}
+    for edits in (1, 4, 64):
+        copies = [changed(t, edits) for t in base]
+        prints = editprint.prints(base + copies)
+        pairs = list(zip(prints, prints[len(base) :]))
+        found[edits] = sorted(editprint.likeness(a, b) for a, b in pairs)[len(base) // 2]
+        near = [(a, b) for a, b in pairs if editprint.likeness(a, b) >= 0.8]
+        # recall of the bands over all pairs that are near: 0.9 at least (it is above 0.99)
+        assert sum(bool(set(editprint.band_keys(a)) & set(editprint.band_keys(b))) for a, b in near) >= 0.99 * len(near)
+    assert found[1] > 0.95 and found[1] > found[4] > 0.8 > found[64]
+    unlike = editprint.prints(base)
+    assert max(editprint.likeness(a, b) for a, b in zip(unlike, unlike[1:])) < 0.3
+
+
+def test_edit_groups_hold_every_pair_that_shares_a_band(spark):
+    texts = edit_corpus()
     docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3)
-    prints = editprint.Printer().prints(texts)
-    bands = [{(k, p[k : k + 4]) for k in range(0, editprint.SLOTS, 4)} for p in prints]
-    label = list(range(len(texts)))
+    prints = editprint.prints([t or "" for t in texts])
+    bands = [set(editprint.band_keys(p)) for p in prints]
+    label, shared, near = list(range(len(texts))), 0, 0
     for a in range(len(texts)):
         for b in range(a):
-            if bands[a] & bands[b] and editprint.likeness(prints[a], prints[b]) >= 0.8:
-                label = [label[b] if x == label[a] else x for x in label]
+            if editprint.likeness(prints[a], prints[b]) >= 0.8:
+                near += 1
+                shared += prints[a] == prints[b] or bool(bands[a] & bands[b])
+                if prints[a] == prints[b] or bands[a] & bands[b]:
+                    label = [label[b] if x == label[a] else x for x in label]
+    assert near >= 60 and shared >= 0.99 * near
     for block in (jaccard.BLOCK, 16):
         group = {r.doc_id: r.group for r in editprint.near_groups(docs, block=block).collect()}
         assert partition([group[k] for k in range(len(texts))]) == partition(label)
