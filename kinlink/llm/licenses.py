@@ -26,6 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinlink.llm.text import ascii_lower
+
 #: What separates words, after lower-casing.
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 RARE_SHARE = 0.05
@@ -72,9 +74,8 @@ def _at(words: list[str], phrase: list[str]) -> int:
 
 
 def _spaced(text: Column) -> Column:
-    """Lower-cased words joined by single spaces. Full lower-casing equals that of A-Z here:
-    what it makes of other characters still separates nothing and equals no phrase's letter."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD, " "))
+    """Words joined by single spaces, A-Z lower-cased."""
+    return F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD, " "))
 
 
 def _list(values: list[str]) -> Column:

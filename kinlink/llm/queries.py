@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm import bpe, editprint, hmm, langid, licenses, linededup, mixing, quality, simhash, urlfilter
+from kinlink.llm import bpe, editprint, hmm, langid, licenses, linededup, mixing, quality, simhash, sql, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +70,40 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of the license scan, which SQL can say."""
+    return op3_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the base rule of the quality rules, which SQL can say."""
+    docs = _table(spark, sf_dir, "documents")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return quality.judge(docs, quality.QualityModel((0.0,) * quality.BUCKETS, 0.0)).select("doc_id", *counts)
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of the mix, which SQL can say."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hidden_markov, op2_language_id, op3_license_scan, op4_simhash, op5_quality_rules, op6_url_filters, op7_byte_bpe, op8_edit_fingerprints, op9_line_dedup, op10_mixing)
+    f.__name__: f
+    for f in (
+        op1_hidden_markov,
+        op2_language_id,
+        op3_license_scan,
+        op4_simhash,
+        op5_quality_rules,
+        op6_url_filters,
+        op7_byte_bpe,
+        op8_edit_fingerprints,
+        op9_line_dedup,
+        op10_mixing,
+        license_phrases,
+        quality_counts,
+        mix_targets,
+    )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = sql.SQL
