@@ -116,7 +116,8 @@ def replace_words(text: Column, words: dict[str, str]) -> Column:
     table = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
     spaced = F.regexp_replace(text, "(?U)(\\w+|[^\\w]+)", "$1\u0000")
     parts = F.filter(F.split(spaced, "\u0000"), lambda p: p != "")
-    return F.array_join(F.transform(parts, lambda w: F.coalesce(F.element_at(table, w), w)), "")
+    # a map is searched entry by entry, a set of keys by hash
+    return F.array_join(F.transform(parts, lambda w: F.when(w.isin(*words), F.element_at(table, w)).otherwise(w)), "")
 
 
 def strip_legal_forms(text: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,27 +66,34 @@ def top_k(scores: DataFrame, k: int, by: str = "cos") -> DataFrame:
     return scores.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
 
 
+def cosines(pairs: DataFrame, queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """(country, s1_id, t_id, cos) of given pairs that share a kept token, as in :func:`pair_scores`."""
+    q = queries.select("country", "token", F.col("entity_id").alias("s1_id"), F.col("w").alias("wq"))
+    t = pool.select("country", "token", F.col("entity_id").alias("t_id"), F.col("w").alias("wt"))
+    shared = pairs.select("country", "s1_id", "t_id").join(q, ["country", "s1_id"]).join(t, ["country", "t_id", "token"])
+    return shared.groupBy("country", "s1_id", "t_id").agg(F.round(F.sum(F.col("wq") * F.col("wt")), 9).alias("cos"))
+
+
 def candidates(s1: DataFrame, pool: DataFrame, views: tuple[View, ...] = DEFAULT_VIEWS, scope: str = "default") -> DataFrame:
     """(country, s1_id, t_id, cos_<view>..., expanded): union of the views' top k; a pair without shared tokens in a view has 0 there.
 
-    Scores serve both the top k and the other views' cosines, and candidates all that
-    follows, so both are written to the shared folder once.
+    Scores of all pairs stream into the top k and are never written; a view's best pairs
+    are, and the other views' cosines are computed for these pairs alone.
     """
     both = s1.withColumn("side", F.lit("q")).unionByName(pool.withColumn("side", F.lit("t")), allowMissingColumns=True)
-    scores = {}
+    weights, best = {}, {}
     for v in views:
-        w = token_weights(both, v)
-        w = materialize(w, f"weights-{v.name}", scope)
-        scores[v.name] = materialize(pair_scores(w.filter("side = 'q'"), w.filter("side = 't'")), f"scores-{v.name}", scope)
+        w = materialize(token_weights(both, v), f"weights-{v.name}", scope)
+        weights[v.name] = w.filter("side = 'q'"), w.filter("side = 't'")
+        best[v.name] = materialize(top_k(pair_scores(*weights[v.name]), v.k), f"best-{v.name}", scope)
     keys = ["country", "s1_id", "t_id"]
-    pairs = None
-    for v in views:
-        best = top_k(scores[v.name], v.k).select(*keys)
-        pairs = best if pairs is None else pairs.union(best)
-    pairs = pairs.distinct()
+    pairs = reduce(DataFrame.union, [best[v.name].select(*keys) for v in views]).distinct()
+    out = pairs
     for v in views:
-        pairs = pairs.join(scores[v.name].withColumnRenamed("cos", f"cos_{v.name}"), keys, "left").fillna(0.0, [f"cos_{v.name}"])
-    return materialize(pairs.withColumn("expanded", F.lit(0)), "candidates", scope)
+        missing = pairs.join(best[v.name], keys, "left_anti")
+        cos = best[v.name].union(cosines(missing, *weights[v.name]).select(*best[v.name].columns))
+        out = out.join(cos.withColumnRenamed("cos", f"cos_{v.name}"), keys, "left").fillna(0.0, [f"cos_{v.name}"])
+    return materialize(out.withColumn("expanded", F.lit(0)), "candidates", scope)
 
 
 #: Keys by which pool records are twins, and the least length of a key.
