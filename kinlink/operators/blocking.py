@@ -1,16 +1,19 @@
 """Candidate generation: TF-IDF top-k joins by country, twin expansion, second hop.
 
 All joins are equi-joins on (country, token) or (country, key). Tokens above the
-document-frequency cap are dropped before the join, which bounds its fan-out at
-cap x cap a token; group sizes are bounded before twins are joined.
+document-frequency cap are dropped before the join. The top k deals lists of records
+to the queries that hold their token (as many rows as queries have tokens, by lists of
+LIST records); group sizes are bounded before twins are joined.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,10 @@ from kinlink.functions import tokens as K
 from kinlink.sources.shared import materialize
 
 
+#: Records in a list of those that hold a token.
+LIST = 4_096
+
+
 @dataclass(frozen=True)
 class View:
     """One way to look at a record: a text field, its tokeniser, the frequency cap and k."""
@@ -66,6 +73,58 @@ def top_k(scores: DataFrame, k: int, by: str = "cos") -> DataFrame:
     return scores.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
 
 
+def best_pairs(queries: DataFrame, pool: DataFrame, k: int, apart: bool = False, scope: str = "default") -> DataFrame:
+    """(country, s1_id, t_id, cos) of each query's k best targets, ties by id; with ``apart`` never itself.
+
+    Equal to ``top_k(pair_scores(queries, pool), k)``, but the pool's records of a token
+    come as lists of at most LIST numbers and weights, which are dealt to the queries that
+    hold the token; each query sums and ranks its lists as arrays. So a pair never is a row
+    of its own. Numbers follow the order of the ids.
+    """
+
+    def numbered(weights: DataFrame, name: str) -> DataFrame:
+        ids = weights.select("country", "entity_id").distinct().orderBy("entity_id")
+        return materialize(ids.withColumn("x", F.monotonically_increasing_id()), name, scope)
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def best(query: int) -> pa.RecordBatch:
+            t, own = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            cos = np.round(np.bincount(own, np.concatenate([w for _, w in held])), 9)
+            first = np.lexsort((t, -cos))[:k]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), query)), pa.array(t[first]), pa.array(cos[first])], names=["q", "t", "cos"])
+
+        for batch in batches:
+            out = []
+            q, wq = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ts, ws = batch.column(2), batch.column(3)
+            ends, t, w = ts.offsets.to_numpy(), ts.values.to_numpy(), ws.values.to_numpy()
+            for i in range(batch.num_rows):
+                if q[i] != now:
+                    if held:
+                        out.append(best(now))
+                    now, held = q[i], []
+                held.append((t[ends[i] : ends[i + 1]].copy(), w[ends[i] : ends[i + 1]] * wq[i]))
+            yield from out
+        if held:
+            yield best(now)
+
+    qs, ts = numbered(queries, "queries"), numbered(pool, "targets")
+    own = ["country", "entity_id"]
+    q = queries.join(qs, own).select("country", "token", F.col("x").alias("q"), "w", F.col("entity_id").alias("q_id"))
+    t = pool.join(ts, own).select("country", "token", F.struct("x", "w", *(["entity_id"] if apart else [])).alias("e"))
+    many = t.groupBy("country", "token").agg(F.ceil(F.count("*") / LIST).alias("n"))
+    lists = t.join(many, ["country", "token"]).groupBy("country", "token", F.pmod(F.xxhash64("e.x"), "n").alias("part")).agg(F.collect_list("e").alias("e"))
+    dealt = q.join(lists, ["country", "token"])
+    if apart:
+        dealt = dealt.withColumn("e", F.filter("e", lambda e: e["entity_id"] != F.col("q_id")))
+    dealt = dealt.select("q", "w", F.col("e.x").alias("ts"), F.col("e.w").alias("ws")).repartition("q").sortWithinPartitions("q")
+    found = dealt.mapInArrow(ranked, "q long, t long, cos double")
+    found = found.join(qs.select("country", F.col("entity_id").alias("s1_id"), F.col("x").alias("q")), "q")
+    return found.join(ts.select(F.col("entity_id").alias("t_id"), F.col("x").alias("t")), "t").select("country", "s1_id", "t_id", "cos")
+
+
 def cosines(pairs: DataFrame, queries: DataFrame, pool: DataFrame) -> DataFrame:
     """(country, s1_id, t_id, cos) of given pairs that share a kept token, as in :func:`pair_scores`."""
     q = queries.select("country", "token", F.col("entity_id").alias("s1_id"), F.col("w").alias("wq"))
@@ -85,7 +144,7 @@ def candidates(s1: DataFrame, pool: DataFrame, views: tuple[View, ...] = DEFAULT
     for v in views:
         w = materialize(token_weights(both, v), f"weights-{v.name}", scope)
         weights[v.name] = w.filter("side = 'q'"), w.filter("side = 't'")
-        best[v.name] = materialize(top_k(pair_scores(*weights[v.name]), v.k), f"best-{v.name}", scope)
+        best[v.name] = materialize(best_pairs(*weights[v.name], v.k, scope=scope), f"best-{v.name}", scope)
     keys = ["country", "s1_id", "t_id"]
     pairs = reduce(DataFrame.union, [best[v.name].select(*keys) for v in views]).distinct()
     out = pairs
@@ -147,7 +206,7 @@ def second_hop(pairs: DataFrame, similarity: DataFrame, pool_weights: DataFrame,
     best = Window.partitionBy("country", "s1_id").orderBy(F.desc("_s"), "t_id")
     top = strong.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= anchors).select(*ids)
     seeds = pool_weights.join(top.select("country", F.col("t_id").alias("entity_id")).distinct(), ["country", "entity_id"], "left_semi")
-    near = top_k(pair_scores(seeds, pool_weights).filter("s1_id <> t_id"), k).select("country", F.col("s1_id").alias("t_id"), F.col("t_id").alias("n_id"))
+    near = best_pairs(seeds, pool_weights, k, apart=True).select("country", F.col("s1_id").alias("t_id"), F.col("t_id").alias("n_id"))
     found = top.join(near, ["country", "t_id"]).select("country", "s1_id", F.col("n_id").alias("t_id"))
     new = _capped(found, pairs, cap).withColumns({"expanded": F.lit(0), "hop2": F.lit(1)})
     cos = [c for c in pairs.columns if c.startswith("cos_")]

@@ -11,6 +11,7 @@ from kinlink.plans.registry import query
 from kinlink.plans.text_queries import records
 from kinlink.plans.views import ENTITIES, PAIRS, table, view
 from kinlink.sources import sampling, synthetic, tables
+from kinlink.sources.shared import materialize
 
 T_, TOP, REL = 0.7, 0.9, 0.8
 OWNED = f"(select *, row_number() over (partition by country, t_id order by p desc, s1_id) = 1 as owner from ({PAIRS}) p0)"
@@ -337,8 +338,8 @@ def link_records(spark, sf_dir):
     """Normalise, block by TF-IDF, keep one owner, decide, one row for each reference record."""
     s1, pool = sides(spark, sf_dir)
     both = s1.withColumn("side", F.lit("q")).unionByName(pool.withColumn("side", F.lit("t")))
-    w = blocking.token_weights(both, VIEWS[0])
-    best = blocking.top_k(blocking.pair_scores(w.filter("side = 'q'"), w.filter("side = 't'")), 10)
+    w = materialize(blocking.token_weights(both, VIEWS[0]), "weights-comb")
+    best = blocking.best_pairs(w.filter("side = 'q'"), w.filter("side = 't'"), 10)
     chosen = decision.decide(decision.one_owner(best, "cos"), 0.5, 0.0, 0.9, "cos").filter("matched")
     return tables.one_row_each(s1, chosen)
 

@@ -76,8 +76,8 @@ def tfidf_weights(spark, sf_dir):
 
 @query("tfidf_topk_join", f"select country, s1_id, t_id, round(cos, 6) as cos from {duck.top(duck.scores(duck.weights(PROBES, 'text', 0.05)), 5)}")
 def tfidf_topk_join(spark, sf_dir):
-    w = blocking.token_weights(probes(spark, sf_dir), BY_TEXT)
-    best = blocking.top_k(blocking.pair_scores(w.filter("side = 'q'"), w.filter("side = 't'")), BY_TEXT.k)
+    w = materialize(blocking.token_weights(probes(spark, sf_dir), BY_TEXT), "weights-text")
+    best = blocking.best_pairs(w.filter("side = 'q'"), w.filter("side = 't'"), BY_TEXT.k)
     return best.withColumn("cos", F.round("cos", 6))
 
 

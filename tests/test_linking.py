@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from kinlink.operators import blocking, context, decision, evaluation, learning, pairs, validation
 from kinlink.operators.records import normalize_records
+from kinlink.plans import pair_queries
 from kinlink.sources import sampling, synthetic, tables
 from kinlink.sources.shared import materialize
 
@@ -106,3 +109,25 @@ def test_stream(spark, tmp_path):
     links = R.exact_links(R.normalized_stream(R.read_stream(spark, str(tmp_path / "in"))), ref)
     R.start_links(links, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("US", "S1-1", "S2-1")]
+
+
+def test_best_pairs_are_the_top_k_of_all_pair_scores(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(c, f"{side}{k:03d}", f"w{rng.randrange(14)}", rng.choice((0.1, 0.25, 0.5))) for c in "ab" for side in "qt" for k in range(60) for _ in range(4)]
+    weights = spark.createDataFrame(rows, "country string, entity_id string, token string, w double").groupBy("country", "entity_id", "token").agg(F.max("w").alias("w"))
+    q, t = weights.filter("entity_id like 'q%'"), weights.filter("entity_id like 't%'")
+    for size in (blocking.LIST, 3):
+        monkeypatch.setattr(blocking, "LIST", size)
+        for queries, pool, apart in ((q, t, False), (t, t, True)):
+            scores = blocking.pair_scores(queries, pool)
+            want = blocking.top_k(scores.filter("s1_id <> t_id") if apart else scores, 5)
+            got = blocking.best_pairs(queries, pool, 5, apart)
+            assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert blocking.best_pairs(q.limit(0), t, 5).count() == 0
+
+
+def test_holders_are_all_documents_with_an_item(spark):
+    docs = [("1", "xa bb ccd and more"), ("2", "a bb cc"), ("3", "a  bb cc"), ("4", "bb"), ("5", None), ("6", "ab")]
+    items = [("i", "a bb cc"), ("j", "bb"), ("k", "a b"), ("l", "b"), ("m", "none of these words")]
+    got = pair_queries.holders(spark.createDataFrame(docs, "t_id string, text string"), spark.createDataFrame(items, "s1_id string, item string"))
+    assert {tuple(r) for r in got.collect()} == {(i, d) for i, item in items for d, text in docs if text and item in text}
