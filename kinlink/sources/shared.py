@@ -2,8 +2,9 @@
 
 Lineage is cut by writing a Parquet table below ``spark.checkpoint.dir`` and
 reading it again, so a lost executor never takes an intermediate result along.
-The setting is read from the session; a folder is set only where it is unset
-(local tests).
+The setting is read from the session; a folder is set only where it is unset in
+a local session (tests). On a cluster a missing setting is an error: executors
+would write where nobody else can read.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ _hooked = False
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for scratch tables; a temporary one only if the session names none."""
+    """Folder for scratch tables; a temporary one only if a local session names none."""
     base = spark.conf.get(_KEY, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_KEY} must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="kinlink-")
         spark.conf.set(_KEY, base)
     return base.rstrip("/") + "/kinlink"
