@@ -186,13 +186,13 @@ class Lattice:
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters and their marks, each behind the word mark."""
-    return [MARK + w for w in WORD.findall(text.lower())]
+    """Lower-cased runs of letters and their marks."""
+    return WORD.findall(text.lower())
 
 
 def _units(data: bytes) -> Iterator[str]:
     """Training units of a text."""
-    for w in words_of(data.decode("utf-8", "replace")):
+    for w in map(MARK.__add__, words_of(data.decode("utf-8", "replace"))):
         yield from (w[at : at + SHORT] for at in range(0, len(w), SHORT))
 
 
@@ -299,8 +299,8 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
             texts = [data.decode("utf-8", "replace") for data in blobs(batch.column(1))]
             parts = [words_of(t) for t in texts] if m.langs else []
             distinct = set().union(*parts)
-            lengthy = [w for w in distinct if len(w) > SHORT]
-            longer = dict(zip(lengthy, lattice.long_logs(lengthy, m.probabilities))) if lengthy else {}
+            lengthy = [w for w in distinct if len(w) >= SHORT]  # the word mark counts
+            longer = dict(zip(lengthy, lattice.long_logs([MARK + w for w in lengthy], m.probabilities))) if lengthy else {}
             distinct.difference_update(lengthy)
             table = memo
             if distinct:
@@ -312,7 +312,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
                     table = np.zeros((len(new), len(m.langs)))
                 for at in range(0, len(new), 4_096):
                     part = new[at : at + 4_096]
-                    rows = np.log(lattice.forward(part, m.probabilities)[0])
+                    rows = np.log(lattice.forward([MARK + w for w in part], m.probabilities)[0])
                     table[len(known) : len(known) + len(part)] = rows
                     known.update(zip(part, range(len(known), len(known) + len(part))))
             for k, text in enumerate(texts):
