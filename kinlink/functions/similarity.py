@@ -1,7 +1,8 @@
 """String similarity of two columns, 0 to 1 (or 0 to 100 where named a ratio).
 
 Levenshtein and exact equality are built in. The others run as Arrow-batched
-functions on bit-parallel cores; equal pairs of a batch are computed once.
+functions on bit-parallel cores; equal pairs of a batch are computed once. They are
+rounded to nine digits, so that equal similarities tie whichever way they were reached.
 """
 
 from __future__ import annotations
@@ -117,7 +118,7 @@ def _arrow(f: Callable[[str, str], float]):
                 out.append(None)
                 continue
             if (x, y) not in seen:
-                seen[x, y] = f(x, y)
+                seen[x, y] = round(f(x, y), 9)
             out.append(seen[x, y])
         return pd.Series(out, dtype="float64")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinlink.operators import blocking, context, decision, evaluation, learning, pairs as P, validation
-from kinlink.plans import duck
+from kinlink.plans import duck, duck_pairs as D
 from kinlink.plans.pair_queries import CANDS, COMB, RECORDS, VIEWS, sides
 from kinlink.plans.registry import query
 from kinlink.plans.text_queries import records
@@ -65,11 +65,20 @@ def group_confidence(spark, sf_dir):
     return df.select("country", "s1_id", "t_id", "p1_rank", F.round("p1_best_other", 6).alias("p1_best_other"), "n_conf", F.round("sum_p1", 6).alias("sum_p1"), "n_conf_s2", "n_conf_s3", "n_conf_same_source_other")
 
 
-@query("sibling_features")
+_SIB_REAL = "sib_name_wmax sib_addr_wmax sib_name_conf_max sib_addr_conf_max sib_addrkey_eq_wmax sib_namekey_eq_wmax sib_hn_eq_wmax p1_best_other p1_gap_best_other sum_p1".split()
+_SIB_WHOLE = "sib_addr_eq_conf sib_compact_eq_conf sib_name_hi_conf sib_addr_hi_conf sib_addrkey_eq_conf sib_namekey_eq_conf sib_hn_eq_conf sib_hn_conflict_conf p1_rank n_conf n_conf_s2 n_conf_s3 n_conf_same_source_other".split()
+
+
+@query(
+    "sibling_features",
+    f"select country, s1_id, t_id, {', '.join(f'round({c}, 6) as {c}' for c in _SIB_REAL)}, {', '.join(f'cast({c} as bigint) as {c}' for c in _SIB_WHOLE)} from {D.siblings(f'(select *, cos_comb as p1 from {D.joined(CANDS, RECORDS)} j)')}",
+)
 def sibling_features(spark, sf_dir):
+    """Stage-2 columns, the combined cosine in the place of the first model's probability."""
     s1, pool = sides(spark, sf_dir)
     df = P._both(blocking.candidates(s1, pool, VIEWS), s1, pool, (*P.FIELDS, "addr_key", "name_key")).withColumn("p1", F.col("cos_comb"))
-    return context.sibling_features(df, ["country", "s1_id"])
+    out = context.sibling_features(df, ["country", "s1_id"])
+    return out.select("country", "s1_id", "t_id", *[F.round(F.col(c), 6).alias(c) for c in _SIB_REAL], *[F.col(c).cast("bigint").alias(c) for c in _SIB_WHOLE])
 
 
 @query("one_owner", f"select country, s1_id, t_id, p from {OWNED} o where owner")
@@ -122,15 +131,21 @@ def decision_grid(spark, sf_dir):
     return decision.search(p, e).withColumn("macro_f05", F.round("macro_f05", 6))
 
 
+#: Candidates of the report: a planted blocking that misses every target whose id ends in 3.
+SEEN = "t_id not like '%3'"
+
+
 @query(
     "score_report",
-    f"""select country, round(sum(ntrue) / nullif(sum(ntrue), 0), 6) as recall_ceiling, round(avg(cands), 6) as avg_candidates, max(cands) as max_candidates, round(avg(f), 6) as macro_f05,
-      round(coalesce(avg(f) filter (ntrue = 0), 1.0), 6) as singleton_accuracy, round(coalesce(avg(f) filter (ntrue > 0), 0.0), 6) as matches_macro_f05, cast(0 as bigint) as stray, count(*) as n_s1
-    from (select s.*, coalesce(c.n, 0) as cands, {_f('tp', 'npred', 'ntrue')} as f from {SCORED} s left join (select s1_id, count(*) as n from ({PAIRS}) p group by 1) c on c.s1_id = s.s1_id) x group by grouping sets ((country), ())""",
+    f"""select country, round(sum(caught) / nullif(sum(ntrue), 0), 6) as recall_ceiling, round(avg(cands), 6) as avg_candidates, max(cands) as max_candidates, round(avg(f), 6) as macro_f05,
+      round(coalesce(avg(f) filter (ntrue = 0), 1.0), 6) as singleton_accuracy, round(coalesce(avg(f) filter (ntrue > 0), 0.0), 6) as matches_macro_f05, cast(sum(stray) as bigint) as stray, count(*) as n_s1
+    from (select s.*, coalesce(c.n, 0) as cands, coalesce(c.caught, 0) as caught, coalesce(m.n, 0) as stray, {_f('tp', 'npred', 'ntrue')} as f from {SCORED} s
+      left join (select s1_id, count(*) as n, sum(label) as caught from ({PAIRS}) p where {SEEN} group by 1) c on c.s1_id = s.s1_id
+      left join (select s1_id, count(*) as n from {DECIDED} p where matched and not {SEEN} group by 1) m on m.s1_id = s.s1_id) x group by grouping sets ((country), ())""",
 )
 def score_report(spark, sf_dir):
     e, cands, said, true = _parts(spark, sf_dir)
-    out = evaluation.score_report(e, cands, said, true)
+    out = evaluation.score_report(e, cands.filter(SEEN), said, true)
     return out.select("country", *[F.round(c, 6).alias(c) for c in ("recall_ceiling", "avg_candidates")], "max_candidates", *[F.round(c, 6).alias(c) for c in ("macro_f05", "singleton_accuracy", "matches_macro_f05")], "stray", "n_s1")
 
 
@@ -180,11 +195,17 @@ def closure_check(spark, sf_dir):
     return evaluation.closure(got.filter("cos_comb < 0.5"), got.filter("cos_comb >= 0.5"), pool)
 
 
-@query("sibling_anchor_share")
+@query(
+    "sibling_anchor_share",
+    f"""with c as materialized (select c.*, t.name_norm as tn, t.addr_norm as ta from {CANDS} c join {RECORDS} t on t.entity_id = t_id), met as (select m.s1_id, m.t_id, m.tn, m.ta, f.tn as fn, f.ta as fa from c m left join c f on f.s1_id = m.s1_id and f.cos_comb >= 0.5 where m.cos_comb < 0.5),
+    best as materialized (select s1_id, t_id, coalesce(max(case when fn is not null then {D.token_set('tn', 'fn')} end), 0) as n, coalesce(max(case when fa is not null then {D.token_set('ta', 'fa')} end), 0) as a from met group by all)
+    select level, round(avg(cast(n >= level as int)), 6) as name_share, round(avg(cast(a >= level as int)), 6) as addr_share from best, (values (90), (95), (100)) v(level) group by level""",
+)
 def sibling_anchor_share(spark, sf_dir):
     s1, pool = sides(spark, sf_dir)
     got = blocking.candidates(s1, pool, VIEWS)
-    return evaluation.sibling_anchor_share(got.filter("cos_comb < 0.5"), got.filter("cos_comb >= 0.5"), pool)
+    out = evaluation.sibling_anchor_share(got.filter("cos_comb < 0.5"), got.filter("cos_comb >= 0.5"), pool)
+    return out.select("level", *[F.round(c, 6).alias(c) for c in ("name_share", "addr_share")])
 
 
 @query("structure_spearman", "select round(corr(a, b), 6) as spearman from (select rank() over (order by o_totalprice) + (count(*) over (partition by o_totalprice) - 1) / 2.0 as a, rank() over (order by o_custkey) + (count(*) over (partition by o_custkey) - 1) / 2.0 as b from orders) x")
@@ -225,10 +246,16 @@ def one_row_each(spark, sf_dir):
     return tables.one_row_each(s1, decided(spark, sf_dir).filter("matched"))
 
 
-@query("truth_coverage", f"select s1_id from ({ENTITIES}) e where s1_id not in (select s1_id from {DECIDED} d where matched)")
+@query("truth_coverage", f"select s1_id from ({ENTITIES}) e where s1_id not in (select s1_id from {DECIDED} d where matched and s1_id not like '%7')")
 def truth_coverage(spark, sf_dir):
+    """A planted truth that leaves out every entity whose id ends in 7."""
     s1 = entities(spark, sf_dir).withColumnRenamed("s1_id", "entity_id")
-    return tables.uncovered(s1, decided(spark, sf_dir).filter("matched"))
+    return tables.uncovered(s1, decided(spark, sf_dir).filter("matched and s1_id not like '%7'"))
+
+
+@query("truth_repeated", f"select s1_id, count(*) as n from ({PAIRS}) p where label = 1 group by 1 having count(*) > 1")
+def truth_repeated(spark, sf_dir):
+    return tables.repeated(pairs(spark, sf_dir).filter("label = 1"))
 
 
 # lists with planted faults: a customer's orders, some prefixed wrongly, some repeated

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinlink.functions import similarity as S
 from kinlink.functions import tokens as K
 from kinlink.operators import blocking, pairs as P
-from kinlink.plans import duck
+from kinlink.plans import duck, duck_pairs as D
 from kinlink.plans.registry import query
 from kinlink.plans.text_queries import records
 from kinlink.plans.views import table
@@ -140,22 +140,43 @@ def sibling_expansion(spark, sf_dir):
     return blocking.add_twins(got, anchors, pool).select("country", "s1_id", "t_id", "expanded")
 
 
-@query("sibling_expansion_similar")
+SIMILAR = f"""(select country, s1_id, t_id, name_ts, addr_ts from (select country, s1_id, t_id, {D.token_set('q_name_norm', 't_name_norm')} as name_ts, {D.token_set('q_addr_norm', 't_addr_norm')} as addr_ts from {D.joined(CANDS, RECORDS)} j) y)"""
+_ALIKE = f"(select * from {SIMILAR} a0 where name_ts >= 90 and addr_ts >= 80)"
+
+
+@query(
+    "sibling_expansion_similar",
+    f"""with known as materialized (select * from {CANDS}), anchors as materialized (select * from {_ALIKE}), fresh as (select * from ({_NEW.replace(ANCHORS, 'anchors')}) x anti join known using (country, s1_id, t_id))
+    select country, s1_id, t_id, round(cos_comb, 6) as cos_comb, round(cos_name, 6) as cos_name, 0 as expanded from known union all
+    select country, s1_id, t_id, 0.0, 0.0, 1 from (select *, row_number() over (partition by country, s1_id order by t_id) as r from fresh) where r <= 20""",
+)
 def sibling_expansion_similar(spark, sf_dir):
     s1, pool = sides(spark, sf_dir)
-    return blocking.expand_twins(blocking.candidates(s1, pool, VIEWS), s1, pool)
+    got = blocking.expand_twins(blocking.candidates(s1, pool, VIEWS), s1, pool)
+    return got.withColumns({c: F.round(c, 6) for c in ("cos_comb", "cos_name")})
 
 
-@query("second_hop")
+@query(
+    "second_hop",
+    f"""with known as materialized (select * from {CANDS}), w as materialized (select * from {duck.weights(SIDED, 'combined', VIEWS[0].max_df)} where side = 't'),
+    top as materialized (select country, s1_id, t_id from (select *, row_number() over (partition by country, s1_id order by name_ts + addr_ts desc, t_id) as r from {SIMILAR} where name_ts >= 80 or addr_ts >= 80) where r <= 2),
+    near as (select country, t_id, n_id from (select a.country, a.entity_id as t_id, b.entity_id as n_id, round(sum(a.w * b.w), 9) as cos from w a join w b using (country, token) where a.entity_id <> b.entity_id and a.entity_id in (select t_id from top) group by all)
+      qualify row_number() over (partition by country, t_id order by cos desc, n_id) <= 10),
+    fresh as (select distinct top.country, s1_id, n_id as t_id from top join near using (country, t_id)),
+    new as (select *, row_number() over (partition by country, s1_id order by t_id) as r from fresh anti join known using (country, s1_id, t_id))
+    select country, s1_id, t_id, round(cos_comb, 6) as cos_comb, round(cos_name, 6) as cos_name, 0 as expanded, 0 as hop2 from known union all select country, s1_id, t_id, 0.0, 0.0, 0, 1 from new where r <= 15""",
+)
 def second_hop(spark, sf_dir):
+    """Anchors by token sets; the pool's weights are those of pool and S1 together."""
     s1, pool = sides(spark, sf_dir)
     got = blocking.candidates(s1, pool, VIEWS)
     q = s1.select("country", F.col("entity_id").alias("s1_id"), F.col("name_norm").alias("_qn"), F.col("addr_norm").alias("_qa"))
     t = pool.select("country", F.col("entity_id").alias("t_id"), F.col("name_norm").alias("_tn"), F.col("addr_norm").alias("_ta"))
     alike = got.join(q, ["country", "s1_id"]).join(t, ["country", "t_id"])
     alike = alike.select("country", "s1_id", "t_id", S.token_set(F.col("_qn"), F.col("_tn")).alias("name_ts"), S.token_set(F.col("_qa"), F.col("_ta")).alias("addr_ts"))
-    w = blocking.token_weights(pool.withColumn("side", F.lit("t")), VIEWS[0]).drop("side")
-    return blocking.second_hop(got, alike, w)
+    both = s1.withColumn("side", F.lit("q")).unionByName(pool.withColumn("side", F.lit("t")))
+    w = blocking.token_weights(both, VIEWS[0]).filter("side = 't'").drop("side")
+    return blocking.second_hop(got, alike, w).withColumns({c: F.round(c, 6) for c in ("cos_comb", "cos_name")})
 
 
 NEIGHBOURS = "(select a.p_partkey as a_id, b.p_partkey as b_id, a.p_name || ' ' || a.p_type as a, b.p_name || ' ' || b.p_type as b from part a join part b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey)"
@@ -173,21 +194,21 @@ def sim_levenshtein(spark, sf_dir):
     return neighbours(spark, sf_dir).select("a_id", "b_id", F.round(S.levenshtein(F.col("a"), F.col("b")), 6).alias("sim"))
 
 
-@query("sim_jaro_winkler", f"select a_id, b_id, round(jaro_winkler_similarity(a, b), 6) as sim from {NEIGHBOURS}")
+@query("sim_jaro_winkler", f"select a_id, b_id, round({D.jaro_winkler('a', 'b')}, 6) as sim from {NEIGHBOURS}")
 def sim_jaro_winkler(spark, sf_dir):
     return neighbours(spark, sf_dir).select("a_id", "b_id", F.round(S.jaro_winkler(F.col("a"), F.col("b")), 6).alias("sim"))
 
 
-def _plain(name, f):
-    @query(name)
+def _plain(name, f, sql):
+    @query(name, f"select a_id, b_id, round({sql('a', 'b')}, 6) as sim from {NEIGHBOURS}")
     def run(spark, sf_dir):
         return neighbours(spark, sf_dir).select("a_id", "b_id", F.round(f(F.col("a"), F.col("b")), 6).alias("sim"))
 
     return run
 
 
-for _name, _f in (("sim_lcs", S.lcs), ("sim_ratio", S.ratio), ("sim_token_sort", S.token_sort), ("sim_token_set", S.token_set), ("sim_partial", S.partial)):
-    _plain(_name, _f)
+for _name, _f, _sql in (("sim_lcs", S.lcs, D.lcs), ("sim_ratio", S.ratio, D.ratio), ("sim_token_sort", S.token_sort, D.token_sort), ("sim_token_set", S.token_set, D.token_set), ("sim_partial", S.partial, D.partial)):
+    _plain(_name, _f, _sql)
 
 
 OVERLAP = f"""(with pairs as (select * from {UNION}), rec as (select * from {RECORDS}),
@@ -232,9 +253,19 @@ def rival_counts(spark, sf_dir):
     return P.rival_counts(P.rival_counts(s1, "name_compact", "n_rival_compact"), "name_key", "n_rival_tokens").select("entity_id", "n_rival_compact", "n_rival_tokens")
 
 
-@query("pair_features")
+#: Stage-1 columns of the views' candidates, in the order of their names.
+FEATURES = tuple(sorted(
+    "cos_comb cos_name expanded name_jw name_lev name_lcs name_tset name_tsort name_partial core_jw core_tset core_exact compact_partial compact_ratio compact_exact "
+    "addr_jw addr_lcs addr_tset addr_tsort addr_missing hn_match name_len_ratio addr_len_ratio is_s2 comp_ov_s1 comp_ov_t num_jacc num_conflict "
+    "name_idf_shared name_idf_max_shared name_idf_cov_s1 name_idf_cov_t name_idf_miss_s1 name_idf_miss_t addr_idf_max_shared addr_idf_cov_s1 addr_idf_cov_t "
+    "n_rival_compact n_rival_tokens rival_addr_best rival_name_best self_minus_rival_addr t_compact_twins cos_max cos_mean n_cands "
+    "cos_comb_rank cos_comb_gap_best cos_comb_gap_second cos_name_rank cos_name_gap_best cos_name_gap_second name_tset_rank name_tset_gap_best name_tset_gap_second addr_tset_rank addr_tset_gap_best addr_tset_gap_second".split()
+))
+
+
+@query("pair_features", f"select country, s1_id, t_id, {', '.join(f'round(cast({c} as double), 6) as {c}' for c in FEATURES)} from {D.features(CANDS, RECORDS)}")
 def pair_features(spark, sf_dir):
     """All stage-1 columns, rivals and group context included."""
     s1, pool = sides(spark, sf_dir)
     df = P.build_features(blocking.candidates(s1, pool, VIEWS), s1, pool, s1)
-    return df.select("country", "s1_id", "t_id", *P.feature_columns(df))
+    return df.select("country", "s1_id", "t_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in sorted(P.feature_columns(df))])

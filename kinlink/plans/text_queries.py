@@ -8,7 +8,7 @@ from kinlink.functions import text as T
 from kinlink.functions import tokens as K
 from kinlink.operators.learning import holdout
 from kinlink.operators.records import normalize_records
-from kinlink.plans import duck
+from kinlink.plans import duck, duck_pairs as D
 from kinlink.plans.registry import query
 from kinlink.plans.views import RECORDS, table, view
 
@@ -118,7 +118,7 @@ def transliterate(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.name_norm(text).alias("name"))
 
 
-@query("holdout_split")
+@query("holdout_split", f"select c_custkey, {D.crc32("'S1-' || cast(c_custkey as string)")} % 5 = 0 as held_out from customer")
 def holdout_split(spark, sf_dir):
     key = F.concat(F.lit("S1-"), F.col("c_custkey").cast("string"))
     return table(spark, sf_dir, "customer").select("c_custkey", holdout(key).alias("held_out"))
