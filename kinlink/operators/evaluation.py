@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinlink.functions import similarity as S
 from kinlink.operators.decision import entity_scores, f05
+from kinlink.sources.shared import materialize
 
 PAIR = ["s1_id", "t_id"]
 
@@ -96,16 +97,22 @@ def key_coverage(records: DataFrame, owners: DataFrame, key: str = "name_compact
     return records.join(known, key, "left").agg(F.count("*").alias("n"), F.count("_o").alias("covered")).withColumn("share", F.when(F.col("n") > 0, F.col("covered") / F.col("n")))
 
 
-def rank_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
+def rank_correlation(df: DataFrame, a: str, b: str, scope: str = "default") -> DataFrame:
     """(spearman): correlation of average ranks; ties share their mean rank.
 
-    Ranks come from counts of distinct values, so only values are ordered in one window.
+    Rows with a null in either column don't count. Ranks come from counts of distinct
+    values, which are dealt by range and summed range by range; only the sums of whole
+    ranges, one row a partition, meet in one task.
     """
+    df = df.select(a, b).dropna()
 
     def ranked(c: str) -> DataFrame:
-        n = df.groupBy(c).agg(F.count("*").alias("n"))
-        below = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        return n.select(c, (below - (F.col("n") - 1) / 2).alias(f"_{c}"))
+        n = df.groupBy(c).agg(F.count("*").alias("n")).repartitionByRange(c).withColumn("_part", F.spark_partition_id())
+        n = materialize(n, "ranks", scope)
+        before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+        parts = n.groupBy("_part").agg(F.sum("n").alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+        below = F.sum("n").over(Window.partitionBy("_part").orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
+        return n.join(F.broadcast(parts), "_part").select(c, (F.col("_before") + below - (F.col("n") - 1) / 2).alias(f"_{c}"))
 
     return df.join(ranked(a), a).join(ranked(b), b).agg(F.corr(f"_{a}", f"_{b}").alias("spearman"))
 

@@ -309,18 +309,26 @@ def learn_word_map(spark, sf_dir):
     return learning.learn_word_map(s1, pool, truth, script="é", min_share=0.1)
 
 
-@query("stratified_sample")
+_S1 = f"(select s1_id as entity_id, country from ({ENTITIES}) e0)"
+
+
+@query("stratified_sample", f"select entity_id, country from {D.stratified(_S1, 60)} s")
 def stratified_sample(spark, sf_dir):
     return sampling.stratified(entities(spark, sf_dir).withColumnRenamed("s1_id", "entity_id"), 60)
 
 
-@query("drop_rivals")
+@query("drop_rivals", f"select entity_id, country from {_S1} e where entity_id in (select entity_id from {D.stratified(_S1, 30)} s) or {D.unit('entity_id')} >= 0.2")
 def drop_rivals(spark, sf_dir):
     e = entities(spark, sf_dir).withColumnRenamed("s1_id", "entity_id")
-    return sampling.drop_rivals(e, sampling.stratified(e, 30), 0.2)
+    return sampling.drop_rivals(e, sampling.stratified(e, 30), 0.2).select("entity_id", "country")
 
 
-@query("sampled_dataset")
+@query(
+    "sampled_dataset",
+    f"""with rec as materialized (select entity_id, source, country from {RECORDS} r), s as materialized (select * from {D.stratified("(select * from rec where source = 'S1')", 200, 42)}),
+    needed as materialized (select distinct t_id from {CANDS} c where cos_comb >= 0.9 and s1_id in (select entity_id from s))
+    select * from s union all select * from rec where source <> 'S1' and (entity_id in (select t_id from needed) or {D.unit('entity_id', 42)} < 0.03)""",
+)
 def sampled_dataset(spark, sf_dir):
     s1, pool = sides(spark, sf_dir)
     truth = blocking.candidates(s1, pool, VIEWS).filter("cos_comb >= 0.9").select("s1_id", "t_id")

@@ -95,6 +95,17 @@ def crc32(x: str) -> str:
     return f"xor(list_reduce(list_concat([4294967295::bigint], {octets}), lambda {c}, {b}: {step}), 4294967295)"
 
 
+def unit(x: str, seed: int = 0) -> str:
+    """The number in [0, 1) that decides samples: 32 bits of an MD5."""
+    return f"(cast('0x' || substr(md5('{seed}|' || {x}), 1, 8) as bigint) / 4294967296.0::double)"
+
+
+def stratified(source: str, n: int, seed: int = 0) -> str:
+    """Rows of ``source`` (entity_id, country): the same share of every country."""
+    return f"""(select * exclude (k, m, total) from (select *, row_number() over (partition by country order by {unit('entity_id', seed)}, entity_id) as k, count(*) over (partition by country) as m, count(*) over () as total from {source} s0) s1
+  where k <= ceil(m * least(1.0::double, {n}::double / total)))"""
+
+
 def masked(value: str, a: str, b: str) -> str:
     return f"case when {a} <> '' and {b} <> '' then {value} end"
 

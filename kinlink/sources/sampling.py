@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 
 def unit(*columns: Column | str, seed: int = 0) -> Column:
-    """A number in [0, 1) from the hash of the columns."""
-    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    """A number in [0, 1): the first 32 bits of the MD5 of the seed and the columns, which any engine can tell."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *columns).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
 
 
 def stratified(df: DataFrame, n: int, by: str = "country", id_col: str = "entity_id", seed: int = 0) -> DataFrame:
-    """About n rows, the same share of every stratum (rounded up), those with the smallest hashes."""
+    """About n rows, the same share of every stratum (rounded up), those with the smallest hashes.
+
+    No stratum gives more than n rows, so a group limit before the shuffle keeps n of each.
+    """
     sizes = df.groupBy(by).agg(F.count("*").alias("_n"))
     total = F.sum("_n").over(Window.partitionBy())
     quota = sizes.withColumn("_q", F.ceil(F.col("_n") * F.least(F.lit(1.0), F.lit(float(n)) / total))).drop("_n")
     place = F.row_number().over(Window.partitionBy(by).orderBy(unit(id_col, seed=seed), id_col))
-    return df.withColumn("_k", place).join(quota, by).filter(F.col("_k") <= F.col("_q")).drop("_k", "_q")
+    first = df.withColumn("_k", place).filter(F.col("_k") <= n)
+    return first.join(quota, by).filter(F.col("_k") <= F.col("_q")).drop("_k", "_q")
 
 
 def drop_rivals(s1: DataFrame, sampled: DataFrame, share: float, seed: int = 0) -> DataFrame:

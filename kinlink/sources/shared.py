@@ -37,17 +37,22 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialize(df: DataFrame, name: str, scope: str = "default") -> DataFrame:
-    """Write ``df`` as a scratch table and return a scan of it."""
+def scratch_path(spark: SparkSession, name: str, scope: str = "default") -> str:
+    """A new path in the shared folder, which goes with its scope."""
     global _hooked
-    spark = df.sparkSession
     path = f"{shared_dir(spark)}/{scope}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _written.setdefault(scope, []).append(path)
     if not _hooked:
         atexit.register(_at_exit)
         _hooked = True
-    out = spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str, scope: str = "default") -> DataFrame:
+    """Write ``df`` as a scratch table and return a scan of it."""
+    path = scratch_path(df.sparkSession, name, scope)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._kinlink_path = path
     return out
 
