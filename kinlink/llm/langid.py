@@ -62,6 +62,10 @@ UNKNOWN = 1e-7
 MARK = "▁"
 MARKS = "".join(chr(k) for k in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(k))[0] == "M")
 WORD = re.compile(rf"[^\W\d_]+(?:[{MARKS}]+[^\W\d_]*)*")
+#: What WORD amounts to in a text without marks, several times faster.
+PLAIN_WORD = re.compile(r"[^\W\d_]+")
+#: Marks of the first plane, which a class looks up in a table, and everything beyond it in one range.
+MAYBE_MARK = re.compile(f"[{''.join(c for c in MARKS if c < '\U00010000')}\U00010000-\U0010FFFF]")
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -187,7 +191,8 @@ class Lattice:
 
 def words_of(text: str) -> list[str]:
     """Lower-cased runs of letters and their marks."""
-    return WORD.findall(text.lower())
+    text = text.lower()
+    return (PLAIN_WORD if text.isascii() or not MAYBE_MARK.search(text) else WORD).findall(text)
 
 
 def _units(data: bytes) -> Iterator[str]:
