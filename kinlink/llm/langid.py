@@ -33,6 +33,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -90,8 +91,9 @@ class Lattice:
     def __init__(self, pieces: tuple[str, ...]):
         self.automaton = ahocorasick.Automaton()
         for k, p in enumerate(pieces):
-            self.automaton.add_word(p, (k, len(p)))
+            self.automaton.add_word(p, k)
         self.automaton.make_automaton()
+        self.lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         self.longest = max(map(len, pieces), default=1)
 
     def build(self, words: list[str]) -> tuple[np.ndarray, ...]:
@@ -100,8 +102,8 @@ class Lattice:
         size = np.fromiter(map(len, words), np.int64, len(words)) + 1
         first = np.r_[0, np.cumsum(size)[:-1]]
         last = first + size - 1
-        got = [(e + 1, k, n) for e, (k, n) in self.automaton.iter(text)]
-        end, piece, length = np.array(got, np.int64).reshape(-1, 3).T
+        last_at, piece = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64).reshape(-1, 2).T
+        end, length = last_at + 1, self.lengths[piece]
         start = end - length
         alone = np.ones(len(text), bool)
         alone[start[length == 1]] = False
