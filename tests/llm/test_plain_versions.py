@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinlink.llm import langid, licenses, quality
 
@@ -57,7 +58,6 @@ def plain_score(text, ratios, bucket):
 
 
 def test_quality_score(spark):
-    from pyspark.sql import functions as F
 
     texts = ["good words make good texts " * 8, "spam spam buy now " * 9, None, "", "x", "one two three\nfour  five\tsix", "long text of words " * 4_000]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
@@ -82,3 +82,37 @@ def test_quality_score(spark):
 def test_plain_words_are_the_words():
     texts = ["", "plain ascii words 12", "schön ist’s", "éa", "हिन्दी", "\U0001f600 smile", "a\U0001e8d0b", "語" * 50, "İstanbul ẞ"]
     assert [langid.words_of(t) for t in texts] == [langid.WORD.findall(t.lower()) for t in texts]
+
+
+def test_quality_harm(spark):
+    """Toxic words, their ratios, the limit and every harm against plain Python; equal texts count once."""
+    filler = lambda i: " ".join(f"w{(i * 7 + k * k) % 97}" for k in range(25 + i % 5))
+    rows = [(i, filler(i) + (f" Bad{i % 3}! line" if i % 2 else "")) for i in range(400)] + [(400 + i, filler(1) + " Bad1! line") for i in range(30)]
+    rows += [(500, None), (501, ""), (502, "BAD1"), (503, "bad1 " * 30_000), (504, "w1 " * 30), (None, filler(3) + " bad2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(t is not None and "Bad" in t)) for i, t in rows[:430]], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    halves = dict(docs.filter("doc_id < 430").select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("terms")), F.lit(2))).collect())
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    hashed = dict(spark.createDataFrame([(w,) for w in sorted({w for _, t in rows for w in words(t)})], "w string").select("w", F.xxhash64("w")).collect())
+    learnt = {(int("Bad" in t), t) for i, t in rows[:430] if halves[i] == 0}
+    n = [sum(s == 0 for s, _ in learnt), sum(s == 1 for s, _ in learnt)]
+    seen = [Counter(w for s, t in learnt if s == side for w in set(words(t))) for side in (0, 1)]
+    cell = lambda x, of, p: x * math.log(x / (of * p)) if x else 0.0
+    terms = {}
+    for w, h in hashed.items():
+        b, a = seen[0][w], seen[1][w]
+        p = (a + b) / sum(n)
+        if 0 < p < 1 and 2 * (cell(a, n[1], p) + cell(b, n[0], p) + cell(n[1] - a, n[1], 1 - p) + cell(n[0] - b, n[0], 1 - p)) >= quality.LEAST_G2 and a * n[0] > b * n[1]:
+            terms[h] = math.log((a + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1))
+    assert {hashed["line"], hashed["bad1"]} <= set(terms) and dict(model.terms) == pytest.approx(terms)
+    harm = lambda t: sum(terms.get(hashed[w], 0.0) for w in words(t)) / max(1, len(words(t)))
+    held = [sorted(harm(t) for i, t in rows[:430] if halves[i] == 1 and ("Bad" in t) == side) for side in (False, True)]
+    assert model.limit == pytest.approx((held[0][int(quality.KEEP_SHARE * len(held[0]))] + held[1][int((1 - quality.KEEP_SHARE) * len(held[1]))]) / 2)
+    judged = {(r.doc_id, r.harm, r.kept, r.base_failed) for r in quality.judge(docs, model).collect()}
+    texts = dict(rows)
+    assert len(judged) == len(rows) and all(h == pytest.approx(harm(texts[i])) for i, h, _, _ in judged)
+    assert all(not kept for _, h, kept, _ in judged if h > model.limit) and not any(failed for i, _, _, failed in judged if i is not None and i < 430)
+    clean = quality.fit(docs, labels.filter("toxic = 0"))
+    assert clean.terms == () and {r.harm for r in quality.judge(docs, clean).collect()} == {0.0}
+    assert all(r.harm == 0.0 for r in quality.judge(docs, quality.fit(docs, labels.filter("toxic = 1"))).collect())
