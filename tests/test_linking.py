@@ -126,6 +126,22 @@ def test_best_pairs_are_the_top_k_of_all_pair_scores(spark, monkeypatch):
     assert blocking.best_pairs(q.limit(0), t, 5).count() == 0
 
 
+def shuffled(spark):
+    """Bytes that the session's stages have written to shuffles so far."""
+    gateway = spark.sparkContext._gateway
+    none, quantiles = gateway.jvm.java.util.ArrayList(), gateway.new_array(gateway.jvm.double, 0)
+    return sum(s.shuffleWriteBytes() for s in gateway.jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsc.sc().statusStore().stageList(none, False, False, quantiles, none)))
+
+
+def test_best_pairs_shuffle_records_and_not_pairs(spark):
+    rng = random.Random(5)
+    rows = [("a", f"{side}{k:04d}", f"w{j}", rng.random()) for side in "qt" for k in range(800) for j in range(4)]
+    weights = spark.createDataFrame(rows, "country string, entity_id string, token string, w double")
+    before = shuffled(spark)
+    assert blocking.best_pairs(weights.filter("entity_id like 'q%'"), weights.filter("entity_id like 't%'"), 5).count() == 4000
+    assert shuffled(spark) - before < 1_000_000  # 640,000 pairs, 6,400 weights
+
+
 def test_holders_are_all_documents_with_an_item(spark):
     docs = [("1", "xa bb ccd and more"), ("2", "a bb cc"), ("3", "a  bb cc"), ("4", "bb"), ("5", None), ("6", "ab")]
     items = [("i", "a bb cc"), ("j", "bb"), ("k", "a b"), ("l", "b"), ("m", "none of these words")]
