@@ -142,6 +142,22 @@ def test_best_pairs_shuffle_records_and_not_pairs(spark):
     assert shuffled(spark) - before < 1_000_000  # 640,000 pairs, 6,400 weights
 
 
+def test_holders_shuffle_a_text_once_and_not_once_a_word(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(400)]
+    docs = spark.createDataFrame([(str(k), " ".join(rng.sample(words, 400))) for k in range(50)], "t_id string, text string")
+    items = spark.createDataFrame([("i", "no w1 w2")], "s1_id string, item string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        assert pair_queries.holders(docs, items).count() == 0
+        assert shuffled(spark) - before < 2_000_000  # 0.1 MB of texts, 40 MB with a text at each word
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
 def test_holders_are_all_documents_with_an_item(spark):
     docs = [("1", "xa bb ccd and more"), ("2", "a bb cc"), ("3", "a  bb cc"), ("4", "bb"), ("5", None), ("6", "ab")]
     items = [("i", "a bb cc"), ("j", "bb"), ("k", "a b"), ("l", "b"), ("m", "none of these words")]
