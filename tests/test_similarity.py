@@ -1,10 +1,13 @@
+import random
 from functools import lru_cache
 
 import duckdb
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kinlink.functions import similarity as S
+from kinlink.operators import pairs
 
 WORDS = st.text("abc ", max_size=14)
 
@@ -42,3 +45,29 @@ def test_fixed_cases():
     assert S.token_set_of("", "a") == 0
     assert S.partial_of("yankees", "new york yankees") == 100
     assert S.ratio_of("", "") == 100
+
+
+def test_equal_pairs_of_texts_are_compared_once():
+    seen = []
+
+    def f(a, b):
+        seen.append((a, b))
+        return 0.1234565
+
+    for _ in range(2):
+        assert S.matrix_of(f, ["x", "y"], np.array([[True, True], [False, False]])).tolist() == [[0.123457, 0.123457], [0, 0]]
+    assert seen == [("x", "x"), ("x", "y")]
+
+
+def test_neighbours_are_all_pairs_of_a_group(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(rng.choice("ab"), rng.choice((1, 2, None)), k, " ".join(rng.sample(["red", "ring", "é", "bolt"], 2))) for k in rng.sample(range(1000), 90)]
+    df = spark.createDataFrame(rows, "g string, s int, id long, x string")
+    want = {(a[2], b[2]): (a[3], b[3]) for a in rows for b in rows if a[:2] == b[:2] and a[1] is not None and a[2] < b[2]}
+    for size, out in ((pairs.ROWS, pairs.OUT), (7, 5)):
+        monkeypatch.setattr(pairs, "ROWS", size)
+        monkeypatch.setattr(pairs, "OUT", out)
+        got = {(a, b): sim for a, b, sim in pairs.neighbour_similarity(df, ["g", "s"], "id", "x", S.levenshtein_of).collect()}
+        assert got == {k: round(S.levenshtein_of(*v), 6) for k, v in want.items()}
+    texts = spark.createDataFrame([v for v in want.values()] + [("", ""), ("", "a"), ("abc", "")], "a string, b string")
+    assert all(S.levenshtein_of(a, b) == sim for a, b, sim in texts.select("a", "b", S.levenshtein(texts.a, texts.b)).collect())
