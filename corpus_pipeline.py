@@ -30,7 +30,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that fail the rules go."""
     release(spark, SCOPE)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.keep(docs, quality.fit(docs, labels))
+    return quality.keep(docs, quality.fit(docs, labels, scope=SCOPE))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

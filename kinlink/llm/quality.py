@@ -12,17 +12,16 @@ A second ratio of the same kind sets labelled toxic against trusted documents.
 Of the lower-cased words only those whose document counts differ beyond chance
 (log-likelihood ratio of at least LEAST_G2) have a ratio; all others count zero.
 Its mean over a document's words is ``harm``, and a document above the limit goes.
-Words are learnt from one half of the samples, the limit from the other.
+Words are learnt from one half of the labelled rows, the limit from the other.
 
-Bounds. Trusted, rejected and toxic examples are at most SAMPLE_ROWS labelled rows
-each, those with the smallest id hashes, and at most TERMS words have a toxic
-ratio; everything else covers all rows.
+Bounds. All labelled rows count, none is sampled; at most TERMS words have a toxic
+ratio. Thresholds are exact order statistics; the 0.2 % of scores beyond one are ranked.
 
 Edge cases: null or empty text has no words, so n_words is 0 and it fails the
 base rule; no trusted rows (or an empty label table) make all ratios 0 and keep
 what passes the base rule; no toxic rows, or none that differ, make every harm 0;
 repeated rows are scored alike; labels of unknown documents are ignored; null ids
-and null labels are never sampled.
+and null labels are never examples.
 """
 
 from __future__ import annotations
@@ -34,11 +33,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.llm.text import SPACE, carried, let, unpacked, words_of
+from kinlink.sources.shared import discard, materialize
 
 #: Hash buckets of the n-gram multinomials.
 BUCKETS = 16_384
-#: Labelled rows of either kind from which the target model and the threshold come.
-SAMPLE_ROWS = 4_000
 #: Added to each bucket's count.
 SMOOTHING = 1.0
 #: Share of trusted examples that the threshold must keep.
@@ -87,10 +85,12 @@ def _bucket_counts(docs: DataFrame) -> list[int]:
     return counts
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, wanted: Column, id_col: str) -> DataFrame:
-    """Texts of at most SAMPLE_ROWS labelled documents, by the smallest id hashes."""
-    ids = labels.filter(wanted & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS)
-    return docs.join(F.broadcast(ids), "_id", "left_semi")
+def _labelled(texts: DataFrame, labels: DataFrame, id_col: str, scope: str) -> DataFrame:
+    """All labelled documents with flags: good (trusted), bad (rejected), toxic; a scratch table."""
+    flag = lambda wanted, name: F.max(F.coalesce(wanted, F.lit(False))).alias(name)
+    kinds = {"good": (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), "bad": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    ids = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(*[flag(v, k) for k, v in kinds.items()])
+    return materialize(texts.join(ids.filter("good or bad or toxic"), "_id"), "labelled", scope)
 
 
 def _log_shares(counts: list[int]) -> list[float]:
@@ -98,22 +98,39 @@ def _log_shares(counts: list[int]) -> list[float]:
     return [math.log((c + SMOOTHING) / total) for c in counts]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """Raw counts over all ``docs``, target counts and threshold from sampled ``labels`` (id, quality, toxic)."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: str = "quality") -> QualityModel:
+    """Raw counts over all ``docs``, target counts and thresholds from all ``labels`` (id, quality, toxic)."""
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    good = _sampled(texts, labels, (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), id_col)
-    bad = _sampled(texts, labels, F.col("quality") == 0, id_col)
-    target = _bucket_counts(good)
+    labelled = _labelled(texts, labels, id_col, scope)
+    try:
+        return _fitted(texts, labelled, scope)
+    finally:
+        discard(labelled)
+
+
+def _fitted(texts: DataFrame, labelled: DataFrame, scope: str) -> QualityModel:
+    target = _bucket_counts(labelled.filter("good"))
     if not sum(target):
         return QualityModel((0.0,) * BUCKETS, -math.inf)
     ratios = tuple(t - r for t, r in zip(_log_shares(target), _log_shares(_bucket_counts(texts))))
-    threshold = _threshold(_sample_scores(good, ratios), _sample_scores(bad, ratios))
-    toxic = _sampled(texts, labels, F.col("toxic") == 1, id_col)
+    scores = materialize(_scores(labelled, ratios), "scores", scope)
+    threshold = _threshold(scores.filter("good"), scores.filter("bad"))
+    discard(scores)
     learns = F.pmod(F.xxhash64("_id", F.lit("terms")), F.lit(2)) == 0
-    terms = _terms(toxic.filter(learns), good.filter(learns))
+    learnt, held = labelled.filter(learns), labelled.filter(~learns)
+    terms = _terms(learnt.filter("toxic"), learnt.filter("good"))
     if not terms:
         return QualityModel(ratios, threshold)
-    return QualityModel(ratios, threshold, terms, _limit(_sample_harms(good.filter(~learns), terms), _sample_harms(toxic.filter(~learns), terms)))
+    harms = materialize(_harms(held, terms), "harms", scope)
+    limit = _limit(harms.filter("good"), harms.filter("toxic"))
+    discard(harms)
+    return QualityModel(ratios, threshold, terms, limit)
+
+
+def _nth(values: DataFrame, at: int, n: int) -> float:
+    """The value ``x`` at a place of ``n`` in ascending order, from the nearer end: 1 - KEEP_SHARE of them at most are ranked."""
+    down = at > n - 1 - at
+    return values.select("x").orderBy(F.desc("x") if down else F.asc("x")).offset(n - 1 - at if down else at).limit(1).collect()[0][0]
 
 
 def _plain_hashes(text: Column) -> Column:
@@ -151,33 +168,37 @@ def _harm(ph: Column, terms: tuple[tuple[int, float], ...]) -> Column:
     return F.when(F.size(ph) > 0, total / F.size(ph)).otherwise(F.lit(0.0))
 
 
-def _sample_harms(sample: DataFrame, terms: tuple[tuple[int, float], ...]) -> list[float]:
+def _harms(labelled: DataFrame, terms: tuple[tuple[int, float], ...]) -> DataFrame:
+    """(good, toxic, x): the harm of every trusted and every toxic document."""
     harm = let(F.coalesce("_text", F.lit("")), lambda t: let(_plain_hashes(t), lambda ph: _harm(ph, terms)))
-    return sorted(row[0] for row in sample.select(harm.alias("x")).collect())
+    return labelled.filter("good or toxic").select("good", "toxic", harm.alias("x"))
 
 
-def _limit(good: list[float], toxic: list[float]) -> float:
+def _limit(good: DataFrame, toxic: DataFrame) -> float:
     """The high quantile of trusted harm that KEEP_SHARE keeps, raised half-way to the
     toxic examples' low quantile where a gap lies between."""
-    if not good:
+    n, m = good.count(), toxic.count()
+    if not n:
         return math.inf
-    high = good[min(len(good) - 1, int(KEEP_SHARE * len(good)))]
-    low = toxic[int((1 - KEEP_SHARE) * len(toxic))] if toxic else high
+    high = _nth(good, min(n - 1, int(KEEP_SHARE * n)), n)
+    low = _nth(toxic, int((1 - KEEP_SHARE) * m), m) if m else high
     return (low + high) / 2 if low > high else high
 
 
-def _sample_scores(sample: DataFrame, ratios: tuple[float, ...]) -> list[float]:
-    scored = let(_hashes(words_of(F.col("_text"))), lambda wh: let(_pairs(wh), lambda pairs: F.struct(F.size(wh).alias("n"), _score(wh, pairs, ratios).alias("score"))))
-    return sorted(score for n, score in sample.select(scored.alias("s")).select("s.n", "s.score").collect() if n >= MIN_WORDS)
+def _scores(labelled: DataFrame, ratios: tuple[float, ...]) -> DataFrame:
+    """(good, bad, x): the score of every trusted and every rejected document of MIN_WORDS or more."""
+    scored = let(_hashes(words_of(F.col("_text"))), lambda wh: let(_pairs(wh), lambda pairs: F.struct(F.size(wh).alias("n"), _score(wh, pairs, ratios).alias("x"))))
+    return labelled.filter("good or bad").select("good", "bad", scored.alias("s")).select("good", "bad", "s.n", "s.x").filter(F.col("n") >= MIN_WORDS)
 
 
-def _threshold(good: list[float], bad: list[float]) -> float:
+def _threshold(good: DataFrame, bad: DataFrame) -> float:
     """Where trusted scores begin: the low quantile that KEEP_SHARE keeps, lowered
     half-way to the rejected examples' high quantile where a gap lies between."""
-    if not good:
+    n, m = good.count(), bad.count()
+    if not n:
         return -math.inf
-    low = good[int((1 - KEEP_SHARE) * len(good))]
-    high = bad[min(len(bad) - 1, int(KEEP_SHARE * len(bad)))] if bad else low
+    low = _nth(good, int((1 - KEEP_SHARE) * n), n)
+    high = _nth(bad, min(m - 1, int(KEEP_SHARE * m)), m) if m else low
     return (low + high) / 2 if high < low else low
 
 
@@ -185,9 +206,8 @@ def _score(wh: Column, pairs: Column, ratios: tuple[float, ...]) -> Column:
     """Mean log ratio of a document's n-grams; 0 if it has none."""
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
     n, zero = F.size(wh), F.lit(0.0)
-    uni = F.aggregate(wh, zero, lambda a, h: a + F.get(table, _bucket(h)))
-    two = F.aggregate(pairs, zero, lambda a, h: a + F.get(table, _bucket(h)))
-    return F.when(n > 0, (uni + two) / (2 * n - 1)).otherwise(zero)
+    total = F.aggregate(F.concat(wh, pairs), zero, lambda a, h: a + F.get(table, _bucket(h)))  # names the table once: plans print it
+    return F.when(n > 0, total / (2 * n - 1)).otherwise(zero)
 
 
 def _windows(pairs: Column) -> Column:

@@ -116,3 +116,17 @@ def test_quality_harm(spark):
     clean = quality.fit(docs, labels.filter("toxic = 0"))
     assert clean.terms == () and {r.harm for r in quality.judge(docs, clean).collect()} == {0.0}
     assert all(r.harm == 0.0 for r in quality.judge(docs, quality.fit(docs, labels.filter("toxic = 1"))).collect())
+
+
+def test_quality_learns_from_all_labelled_rows(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and so on") for i in range(4_200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(4_200)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)  # all documents are trusted, so that target and raw counts are equal
+    assert set(model.ratios) == {0.0}
+
+
+def test_thresholds_are_order_statistics(spark):
+    values = [((7 * i) % 2_003) / 10 for i in range(2_003)]
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    for at in (0, 4, 1_000, 1_998, 2_002):
+        assert quality._nth(frame, at, len(values)) == sorted(values)[at]
