@@ -14,11 +14,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm import bpe, jaccard, linededup, mixing, quality
+from kinlink.llm import bpe, jaccard, linededup, mixing, quality, simhash
+from kinlink.llm.components import united
 from kinlink.sources.shared import discard, materialize, release
 
 SCOPE = "pipeline"
-#: Words of a shingle of the near-duplicate stage, and the least Jaccard similarity of shingle sets that links.
+#: Words of a shingle of the near-duplicate stage's sets, and the least Jaccard similarity that links beside SimHash.
 SHINGLE, LEAST = 5, (4, 5)
 
 
@@ -40,9 +41,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each group stays that near fingerprints or alike shingle sets link."""
     release(spark, SCOPE)
-    return jaccard.representatives(docs, shingle=SHINGLE, least=LEAST, scope=SCOPE)
+    near = simhash.near_duplicates(docs, scope=SCOPE, digests=True)
+    alike = jaccard.near_duplicates(docs, shingle=SHINGLE, least=LEAST, scope=SCOPE)
+    return simhash.firsts(docs, united(near, alike, scope=SCOPE))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
