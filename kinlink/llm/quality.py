@@ -16,6 +16,9 @@ Words are learnt from one half of the labelled rows, the limit from the other.
 
 Bounds. All labelled rows count, none is sampled; at most TERMS words have a toxic
 ratio. Thresholds are exact order statistics; the 0.2 % of scores beyond one are ranked.
+Before labels are joined, a bitmap of MARKS bits (8 MB whatever the input) drops most
+texts without one, so that hardly more than the labelled texts are shuffled, once. Equal
+texts count once by taking the counts of all but the first of them off again.
 
 Edge cases: null or empty text has no words, so n_words is 0 and it fails the
 base rule; no trusted rows (or an empty label table) make all ratios 0 and keep
@@ -44,6 +47,8 @@ KEEP_SHARE = 0.998
 #: Least log-likelihood ratio of a toxic word (chi-square of one degree: 4e-8 by chance), and their greatest number.
 LEAST_G2 = 30.0
 TERMS = 1_024
+#: Bits of the bitmap that rows are tested by before they are shuffled.
+MARKS = 1 << 26
 #: What parts the words of the toxic ratio: ASCII and Latin-1 signs, general and CJK punctuation.
 SIGNS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\xBF\\u2000-\\u206F\\u3000-\\u303F]+"
 WINDOW = 8
@@ -85,12 +90,30 @@ def _bucket_counts(docs: DataFrame) -> list[int]:
     return counts
 
 
+def _marked(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows with a key, and few others: those whose hash no key has in a bitmap of MARKS bits go, without a shuffle."""
+    at = F.pmod(F.xxhash64(on), F.lit(MARKS)) + 1  # bitmap positions are counted from 1
+    marks = keys.select(at.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_marks"))
+    placed = rows.join(F.broadcast(marks), F.bitmap_bucket_number(at) == F.col("_bucket"))
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("_marks", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = placed.filter(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit % 8 + 1).cast("int"))) != 0)
+    return held.select(*rows.columns)
+
+
+def _joined(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """``rows`` joined to ``keys`` by a column; of the rows hardly more than the matching ones are shuffled, and none is sorted."""
+    return _marked(rows, keys, on).join(keys.hint("shuffle_hash"), on)
+
+
 def _labelled(texts: DataFrame, labels: DataFrame, id_col: str, scope: str) -> DataFrame:
-    """All labelled documents with flags: good (trusted), bad (rejected), toxic; a scratch table."""
+    """All labelled documents with flags: good (trusted), bad (rejected), toxic; a scratch table, its rows numbered by ``_n``."""
     flag = lambda wanted, name: F.max(F.coalesce(wanted, F.lit(False))).alias(name)
     kinds = {"good": (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), "bad": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
     ids = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(*[flag(v, k) for k, v in kinds.items()])
-    return materialize(texts.join(ids.filter("good or bad or toxic"), "_id"), "labelled", scope)
+    ids = materialize(ids.filter("good or bad or toxic"), "labels", scope)
+    found = _joined(texts, ids, "_id").withColumn("_n", F.monotonically_increasing_id())
+    return materialize(found, "labelled", scope)
 
 
 def _log_shares(counts: list[int]) -> list[float]:
@@ -118,7 +141,7 @@ def _fitted(texts: DataFrame, labelled: DataFrame, scope: str) -> QualityModel:
     discard(scores)
     learns = F.pmod(F.xxhash64("_id", F.lit("terms")), F.lit(2)) == 0
     learnt, held = labelled.filter(learns), labelled.filter(~learns)
-    terms = _terms(learnt.filter("toxic"), learnt.filter("good"))
+    terms = _terms(learnt.filter("toxic"), learnt.filter("good"), scope)
     if not terms:
         return QualityModel(ratios, threshold)
     harms = materialize(_harms(held, terms), "harms", scope)
@@ -138,16 +161,21 @@ def _plain_hashes(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(text), SIGNS), ""), lambda w: F.xxhash64(w))
 
 
-def _terms(toxic: DataFrame, good: DataFrame) -> tuple[tuple[int, float], ...]:
+def _terms(toxic: DataFrame, good: DataFrame, scope: str) -> tuple[tuple[int, float], ...]:
     """Words that stand in more toxic documents than chance allows, with their log ratios; equal texts count once."""
-    side = lambda df, t: df.select(F.lit(t).alias("t"), F.xxhash64("_text").alias("d"), F.array_distinct(_plain_hashes(F.col("_text"))).alias("w")).dropDuplicates(["d"])
+    side = lambda df, t: df.select(F.lit(t).alias("t"), (2 * F.col("_n") + t).alias("n"), F.xxhash64("_text").alias("d"), "_text")
     both = side(toxic, 1).unionByName(side(good, 0))
-    sizes = dict(both.groupBy("t").count().collect())
+    numbers = both.select("t", "d", "n")
+    firsts = numbers.groupBy("t", "d").agg(F.min("n").alias("first"))
+    sizes = dict(firsts.groupBy("t").count().collect())
     a_all, b_all = sizes.get(1, 0), sizes.get(0, 0)
     if not a_all or not b_all:
         return ()
-    a, b = F.sum("t").cast("double"), F.sum(1 - F.col("t")).cast("double")
-    counts = both.select("t", F.explode("w").alias("h")).groupBy("h").agg(a.alias("a"), b.alias("b"))
+    copies = materialize(numbers.join(firsts, ["t", "d"]).filter("n <> first").select("n"), "copies", scope)
+    signed = lambda df, sign: df.select("t", F.lit(sign).alias("sign"), F.explode(F.array_distinct(_plain_hashes(F.col("_text")))).alias("h"))
+    words = signed(both, 1).unionByName(signed(_joined(both, copies, "n"), -1))
+    a, b = F.sum(F.col("t") * F.col("sign")).cast("double"), F.sum((1 - F.col("t")) * F.col("sign")).cast("double")
+    counts = words.groupBy("h").agg(a.alias("a"), b.alias("b"))
     share = (F.col("a") + F.col("b")) / (a_all + b_all)
     cell = lambda n, of, p: F.when(n > 0, n * F.log(n / (of * p))).otherwise(0.0)
     seen = cell(F.col("a"), a_all, share) + cell(F.col("b"), b_all, share)

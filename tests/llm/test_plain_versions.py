@@ -130,3 +130,12 @@ def test_thresholds_are_order_statistics(spark):
     frame = spark.createDataFrame([(v,) for v in values], "x double")
     for at in (0, 4, 1_000, 1_998, 2_002):
         assert quality._nth(frame, at, len(values)) == sorted(values)[at]
+
+
+def test_few_texts_without_label_are_shuffled(spark):
+    docs = spark.createDataFrame([(None if i % 7 == 0 else i // 2, f"text {i}") for i in range(20_000)], "_id long, _text string").repartition(3)
+    ids = spark.range(0, 20_000, 5).select(F.col("id").alias("_id"), F.lit(True).alias("good"))
+    want = sorted(tuple(r) for r in docs.join(ids, "_id").select("_id", "_text").collect())
+    assert sorted(tuple(r) for r in quality._joined(docs, ids, "_id").select("_id", "_text").collect()) == want
+    assert len(want) <= quality._marked(docs, ids, "_id").count() <= 1.01 * len(want)
+    assert quality._joined(docs, ids.limit(0), "_id").count() == 0
