@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlink.llm import bpe, jaccard, linededup, mixing, quality, simhash
-from kinlink.llm.components import united
 from kinlink.sources.shared import discard, materialize, release
 
 SCOPE = "pipeline"
@@ -43,9 +42,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays that near fingerprints or alike shingle sets link."""
     release(spark, SCOPE)
-    near = simhash.near_duplicates(docs, scope=SCOPE, digests=True)
-    alike = jaccard.near_duplicates(docs, shingle=SHINGLE, least=LEAST, scope=SCOPE)
-    return simhash.firsts(docs, united(near, alike, scope=SCOPE))
+    return simhash.firsts(docs, jaccard.linked_by_either(docs, shingle=SHINGLE, least=LEAST, scope=SCOPE))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

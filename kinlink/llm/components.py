@@ -39,11 +39,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", scope: str = "defau
             break
     roots = edges.select("a").distinct()
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(roots.select(F.col("a").alias("node"), F.col("a").alias("root")))
-
-
-def united(one: DataFrame, other: DataFrame, id_col: str = "doc_id", scope: str = "default") -> DataFrame:
-    """(id, digest, root) of the components under the links of both; either has (id, digest, root), equal digests equal roots."""
-    ones = one.select("digest", F.concat(F.lit("1:"), F.col("root").cast("string")).alias("a")).distinct()
-    both = other.join(ones, "digest").select(F.col(id_col), "digest", "a", F.concat(F.lit("2:"), F.col("root").cast("string")).alias("b"))
-    both = materialize(both, "united", scope)
-    return both.join(components(both, scope=scope), F.col("a") == F.col("node")).select(F.col(id_col), "digest", "root")

@@ -190,3 +190,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST, block: int = BLOCK, scope: str = "default") -> DataFrame:
     """One document of each component, with all its columns (see ``simhash.firsts``)."""
     return simhash.firsts(docs, near_duplicates(docs, id_col, text_col, shingle, least, block, scope), id_col, text_col)
+
+
+def linked_by_either(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST, block: int = BLOCK, scope: str = "default") -> DataFrame:
+    """(id, digest, root) of every row: components under the links of near fingerprints (``simhash``) and of alike sets together.
+
+    One graph holds both kinds of classes and an edge for each text that joins two of them,
+    so components are searched once.
+    """
+    prints = materialize(simhash.fingerprints(docs, id_col, text_col, digests=True), "fingerprints", scope)
+    sets = materialize(shingle_sets(docs, text_col, shingle, **{id_col: F.col(id_col), "digest": simhash.digest(text_col)}), "shingle-sets", scope)
+    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    both = sets.select(id_col, "digest", "cls").join(prints.select("digest", "fp").distinct(), "digest")
+    both = materialize(both.select(F.col(id_col), "digest", node("1:", "fp").alias("a"), node("2:", "cls").alias("b")), "both", scope)
+    near = simhash.links(prints.select("fp").distinct()).select(node("1:", "a").alias("a"), node("1:", "b").alias("b"))
+    alike = links(sets.filter(F.size("keys") > 0), least, block, scope).select(node("2:", "a").alias("a"), node("2:", "b").alias("b"))
+    found = components(near.union(alike).union(both.select("a", "b").distinct()), scope=scope)
+    return both.join(found, F.col("a") == F.col("node")).select(F.col(id_col), "digest", "root")

@@ -167,3 +167,16 @@ def test_edit_groups_hold_every_pair_that_shares_a_band(spark):
     for block in (jaccard.BLOCK, 16):
         group = {r.doc_id: r.group for r in editprint.near_groups(docs, block=block).collect()}
         assert partition([group[k] for k in range(len(texts))]) == partition(label)
+
+
+def test_components_of_prints_and_sets_are_searched_once(spark, monkeypatch):
+    """Chains of both kinds of links are one component; the graph is searched once for both."""
+    calls, search = [], jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda *a, **k: calls.append(1) or search(*a, **k))
+    monkeypatch.setattr(simhash, "components", lambda *a, **k: calls.append(1) or search(*a, **k))
+    body = "one two three " * 200
+    tail = lambda c, n: body + " ".join(f"{c}{k}" for k in range(n))
+    texts = [tail("a", 12), tail("b", 12), tail("b", 12), " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(58)), None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3)
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert kept == [0, 3, 5] and len(calls) == 1
