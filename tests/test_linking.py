@@ -163,3 +163,17 @@ def test_holders_are_all_documents_with_an_item(spark):
     items = [("i", "a bb cc"), ("j", "bb"), ("k", "a b"), ("l", "b"), ("m", "none of these words")]
     got = pair_queries.holders(spark.createDataFrame(docs, "t_id string, text string"), spark.createDataFrame(items, "s1_id string, item string"))
     assert {tuple(r) for r in got.collect()} == {(i, d) for i, item in items for d, text in docs if text and item in text}
+
+
+def test_idf_overlap_keeps_a_pair_in_one_row(spark):
+    s1 = spark.createDataFrame([("US", "S1-1", "a b c"), ("US", "S1-2", "")], "country string, entity_id string, name_norm string")
+    pool = spark.createDataFrame([("US", "S2-1", "b c d"), ("US", "S2-2", "x")], "country string, entity_id string, name_norm string")
+    pairs = s1.select("country", s1.entity_id.alias("s1_id")).crossJoin(pool.select(pool.entity_id.alias("t_id")))
+    idf = spark.createDataFrame([("US", t, float(k)) for k, t in enumerate("abcdx", 1)], "country string, token string, idf double")
+    from kinlink.operators import pairs as P
+
+    out = P.idf_overlap(pairs, s1, pool, idf, "name_norm", "n")
+    got = {(r.s1_id, r.t_id): (r.n_idf_shared, r.n_idf_max_shared, r.n_idf_cov_s1, r.n_idf_cov_t, r.n_idf_miss_s1, r.n_idf_miss_t) for r in out.collect()}
+    assert got == {("S1-1", "S2-1"): (5.0, 3.0, 5 / 6, 5 / 9, 1.0, 4.0), ("S1-1", "S2-2"): (0.0, 0.0, 0.0, 0.0, 6.0, 5.0), ("S1-2", "S2-1"): (0.0, 0.0, None, 0.0, 0.0, 9.0), ("S1-2", "S2-2"): (0.0, 0.0, None, 0.0, 0.0, 5.0)}
+    assert "Aggregate [country#" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("s1_id" in line and "t_id" in line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate [" in line)
