@@ -177,3 +177,39 @@ def test_idf_overlap_keeps_a_pair_in_one_row(spark):
     assert got == {("S1-1", "S2-1"): (5.0, 3.0, 5 / 6, 5 / 9, 1.0, 4.0), ("S1-1", "S2-2"): (0.0, 0.0, 0.0, 0.0, 6.0, 5.0), ("S1-2", "S2-1"): (0.0, 0.0, None, 0.0, 0.0, 9.0), ("S1-2", "S2-2"): (0.0, 0.0, None, 0.0, 0.0, 5.0)}
     assert "Aggregate [country#" in out._jdf.queryExecution().optimizedPlan().toString()
     assert not any("s1_id" in line and "t_id" in line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate [" in line)
+
+
+def record_frame(spark, n, words, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice("ab"), f"{side}{k:03d}", " ".join(rng.choices(words, k=rng.randrange(4))), rng.choice(words + ["w0 w0"])) for side in "qt" for k in range(n)]
+    df = spark.createDataFrame(rows, "country string, entity_id string, x string, y string")
+    return df.filter("entity_id like 'q%'"), df.filter("entity_id like 't%'")
+
+
+def all_scores(s1, pool, view):
+    both = s1.withColumn("side", F.lit("q")).unionByName(pool.withColumn("side", F.lit("t")))
+    w = blocking.token_weights(both, view)
+    return blocking.pair_scores(w.filter("side = 'q'"), w.filter("side = 't'"))
+
+
+def test_candidates_are_the_top_k_of_all_pair_scores(spark, monkeypatch):
+    s1, pool = record_frame(spark, 70, [f"w{k}" for k in range(9)], 7)
+    views = (blocking.View("x", "x", 4, max_df=0.6), blocking.View("y", "y", 3, max_df=0.6))
+    scores = [{(r.country, r.s1_id, r.t_id): r.cos for r in all_scores(s1, pool, v).collect()} for v in views]
+    want = {tuple(r)[:3] for v in views for r in blocking.top_k(all_scores(s1, pool, v), v.k).select("country", "s1_id", "t_id").collect()}
+    for size, room in ((blocking.LIST, blocking.ROOM), (20, 0)):
+        monkeypatch.setattr(blocking, "LIST", size)
+        monkeypatch.setattr(blocking, "ROOM", room)
+        got = {(r.country, r.s1_id, r.t_id): (r.cos_x, r.cos_y) for r in blocking.candidates(s1, pool, views).collect()}
+        assert set(got) == want
+        assert all(abs(c - s.get(p, 0.0)) < 2e-9 for p, cs in got.items() for c, s in zip(cs, scores))
+    assert blocking.candidates(s1.limit(0), pool, views).count() == blocking.candidates(s1, pool.limit(0), views).count() == 0
+
+
+def test_candidates_search_equal_texts_once(spark):
+    rows = [("a", f"{side}{k:05d}", f"w{k % 20} x{k % 10}", f"y{k % 5}") for side in "qt" for k in range(3000)]
+    df = spark.createDataFrame(rows, "country string, entity_id string, x string, y string")
+    views = (blocking.View("x", "x", 3, max_df=0.6), blocking.View("y", "y", 2, max_df=0.6))
+    before = shuffled(spark)
+    assert blocking.candidates(df.filter("entity_id like 'q%'"), df.filter("entity_id like 't%'"), views).count() >= 9000
+    assert shuffled(spark) - before < 600_000  # 6,000 records of 20 texts
