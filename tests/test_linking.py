@@ -227,3 +227,11 @@ def test_closure_joins_the_pool_once_for_all_keys(spark):
     assert {tuple(r) for r in out.collect()} == {("addr_key", 6, 1), ("name_compact", 6, 2), ("name_key", 6, 1)}
     assert {tuple(r)[1:] for r in evaluation.closure(missed.limit(0), found, pool).collect()} == {(0, 0)}
     assert sum("Join " in line for line in plan(out).split("\n")) == 1
+
+
+def test_candidates_of_some_queries_are_theirs_among_all(spark):
+    s1, pool = record_frame(spark, 60, [f"w{k}" for k in range(9)], 8)
+    views = (blocking.View("x", "x", 4, max_df=0.6), blocking.View("y", "y", 3, max_df=0.6))
+    some = s1.filter("entity_id < 'q020'")
+    whole = blocking.candidates(s1, pool, views).filter("s1_id < 'q020'")
+    assert sorted(map(tuple, blocking.candidates(s1, pool, views, asked=some).collect())) == sorted(map(tuple, whole.collect()))
