@@ -235,3 +235,23 @@ def test_candidates_of_some_queries_are_theirs_among_all(spark):
     some = s1.filter("entity_id < 'q020'")
     whole = blocking.candidates(s1, pool, views).filter("s1_id < 'q020'")
     assert sorted(map(tuple, blocking.candidates(s1, pool, views, asked=some).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_second_hop_adds_the_nearest_of_all_pool_records(spark):
+    s1, pool = record_frame(spark, 50, [f"w{k}" for k in range(7)], 9)
+    view = blocking.View("x", "x", 3, max_df=0.6)
+    pairs = blocking.candidates(s1, pool, (view,))
+    similarity = pairs.select("country", "s1_id", "t_id", (F.col("cos_x") * 100).alias("name_ts"), F.lit(0.0).alias("addr_ts"))
+    both = s1.withColumn("side", F.lit("q")).unionByName(pool.withColumn("side", F.lit("t")))
+    w = blocking.token_weights(both, view).filter("side = 't'")
+    near, anchors, known = {}, {}, {}
+    for r in sorted(blocking.pair_scores(w, w).filter("s1_id <> t_id").collect(), key=lambda r: (-r.cos, r.t_id)):
+        near.setdefault(r.s1_id, []).append(r.t_id)
+    for r in sorted(similarity.collect(), key=lambda r: (-r.name_ts, r.t_id)):
+        known.setdefault(r.s1_id, set()).add(r.t_id)
+        if r.name_ts >= 80:
+            anchors.setdefault(r.s1_id, []).append(r.t_id)
+    want = {(q, t) for q, ts in anchors.items() for t in sorted({n for a in ts[:2] for n in near.get(a, [])[:4]} - known[q])[:5]}
+    out = blocking.second_hop(pairs, similarity, s1, pool, view, k=4, cap=5)
+    assert want and {(r.s1_id, r.t_id) for r in out.filter("hop2 = 1").collect()} == want
+    assert out.filter("hop2 = 0").count() == pairs.count()
