@@ -265,3 +265,23 @@ def test_sibling_anchor_share_meets_a_query_in_one_row(spark):
     assert {tuple(r) for r in out.collect()} == {(90, 0.25, 0.25), (100, 0.25, 0.25)}
     assert evaluation.sibling_anchor_share(missed.limit(0), found, pool).count() == 0
     assert sum("Join " in line for line in plan(out).split("\n")) == 1
+
+
+def test_twins_of_anchors_found_once(spark, linked):
+    s1, pool, _, got = linked
+    more = blocking.expand_twins(got, s1, pool, cap=1)
+    assert "ArrowEvalPython" not in plan(more)  # anchors are read, their similarities are not computed for every key
+    anchors = got.filter("cos_comb >= 0.3").select("country", "s1_id", "t_id")
+    known, near = {(r.s1_id, r.t_id) for r in got.collect()}, {}
+    for key, least in blocking.TWIN_KEYS:
+        groups = {}
+        for r in blocking.twin_groups(pool, key, least).collect():
+            groups.setdefault((r.country, r[key]), set()).add(r.entity_id)
+        for ids in groups.values():
+            for t in ids:
+                near.setdefault(t, set()).update(ids)
+    new = {}
+    for r in anchors.collect():
+        new.setdefault(r.s1_id, set()).update(t for t in near.get(r.t_id, ()) if (r.s1_id, t) not in known)
+    want = {(q, t) for q, ts in new.items() for t in sorted(ts)[:2]}
+    assert {(r.s1_id, r.t_id) for r in blocking.add_twins(got, anchors, pool, cap=2).filter("expanded = 1").collect()} == want
