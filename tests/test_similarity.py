@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from kinlink.functions import similarity as S
 from kinlink.operators import pairs
+from kinlink.plans import catalog
 
 WORDS = st.text("abc ", max_size=14)
 
@@ -71,3 +72,20 @@ def test_neighbours_are_all_pairs_of_a_group(spark, monkeypatch):
         assert got == {k: round(S.levenshtein_of(*v), 6) for k, v in want.items()}
     texts = spark.createDataFrame([v for v in want.values()] + [("", ""), ("", "a"), ("abc", "")], "a string, b string")
     assert all(S.levenshtein_of(a, b) == sim for a, b, sim in texts.select("a", "b", S.levenshtein(texts.a, texts.b)).collect())
+
+
+def test_brand_neighbours_of_any_size_are_compared(spark, tmp_path):
+    """Pairs of a brand whatever their sizes; null texts keep their pairs, as SQL does."""
+    rng = random.Random(11)
+    rows = [(k, rng.choice(["red ring", "old bolt", "ring red", None]), rng.choice(["Brand#1", "Brand#2", None]), rng.choice(["LARGE", "SMALL", None]), rng.choice([1, 2, None])) for k in range(60)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+        for name in ("sim_jaro_winkler", "sim_ratio", "sim_token_set"):
+            want = db.execute(catalog.SQL[name]).fetchall()
+            got = [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+            assert len(got) == len(want) and sorted(got) == sorted(want), name
+            if name == "sim_jaro_winkler":
+                of = {k: brand for k, _, brand, _, _ in rows}
+                assert {x[:2] for x in got} == {(a, b) for a in of for b in of if a < b and of[a] and of[a] == of[b]}
+            assert any(x[2] is None for x in got)
