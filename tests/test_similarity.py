@@ -81,11 +81,11 @@ def test_brand_neighbours_of_any_size_are_compared(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     with duckdb.connect() as db:
         db.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
-        for name in ("sim_jaro_winkler", "sim_ratio", "sim_token_set"):
+        for name in ("sim_levenshtein", "sim_jaro_winkler", "sim_ratio", "sim_token_set"):
             want = db.execute(catalog.SQL[name]).fetchall()
             got = [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
             assert len(got) == len(want) and sorted(got) == sorted(want), name
-            if name == "sim_jaro_winkler":
+            if name in ("sim_levenshtein", "sim_jaro_winkler"):
                 of = {k: brand for k, _, brand, _, _ in rows}
                 assert {x[:2] for x in got} == {(a, b) for a in of for b in of if a < b and of[a] and of[a] == of[b]}
             assert any(x[2] is None for x in got)
