@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinlink.operators import blocking, context, decision, evaluation, learning, pairs, validation
 from kinlink.operators.records import normalize_records
-from kinlink.plans import pair_queries
+from kinlink.plans import decision_queries, pair_queries
 from kinlink.sources import sampling, synthetic, tables
 from kinlink.sources.shared import materialize
 
@@ -72,6 +73,31 @@ def test_features_and_two_stages(spark, linked):
     assert sum(r.n_s1 for r in report if r.country is None) == s1.count() and all(r.stray == 0 for r in report)
 
 
+def test_registered_two_stage_trains_in_full(spark, linked, monkeypatch):
+    """The query trains as the operator does by itself."""
+    s1, pool, _, got = linked
+    asked = []
+
+    class Model:
+        def matches(self, features):
+            return features
+
+    def train(features, entities, **options):
+        asked.append(options)
+        return Model()
+
+    signature = inspect.signature(learning.train)
+    monkeypatch.setattr(learning, "train", train)
+    monkeypatch.setattr(decision_queries, "sides", lambda spark, sf_dir: (s1, pool))
+    monkeypatch.setattr(decision_queries.blocking, "candidates", lambda *a, **b: got)
+    features = decision_queries.two_stage(spark, "")
+    used = signature.bind(None, None, **asked[0])
+    used.apply_defaults()
+    assert used.arguments == {"features": None, "entities": None} | {k: p.default for k, p in signature.parameters.items() if k not in ("features", "entities")}
+    assert used.arguments["folds"] >= 5 and used.arguments["trees"] >= 60
+    assert features.count() == got.count() and 0 < features.filter("label = 1").count() < features.count()
+
+
 def test_tables_and_validation(spark, tmp_path):
     src = tmp_path / "s1.tsv"
     src.write_text('entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\tNA\t"Q" St\tUS\nS1-2\tAcme\t\tUS\n')
