@@ -1,5 +1,6 @@
 import inspect
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,7 +75,7 @@ def test_features_and_two_stages(spark, linked):
 
 
 def test_registered_two_stage_trains_in_full(spark, linked, monkeypatch):
-    """The query trains as the operator does by itself."""
+    """The query trains as the operator does by itself, on features that are written once."""
     s1, pool, _, got = linked
     asked = []
 
@@ -96,6 +97,27 @@ def test_registered_two_stage_trains_in_full(spark, linked, monkeypatch):
     assert used.arguments == {"features": None, "entities": None} | {k: p.default for k, p in signature.parameters.items() if k not in ("features", "entities")}
     assert used.arguments["folds"] >= 5 and used.arguments["trees"] >= 60
     assert features.count() == got.count() and 0 < features.filter("label = 1").count() < features.count()
+    assert features._jdf.queryExecution().analyzed().collectLeaves().size() == 2  # pairs and labels read what was written
+
+
+def test_models_of_folds_are_fitted_at_once(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f"S1-{k % 40}", f"S2-{k}", x := rng.random(), rng.random(), int(x > 0.5)) for k in range(200)]
+    df = spark.createDataFrame(rows, "s1_id string, t_id string, x double, y double, label int").coalesce(1).cache()
+    numbered = df.withColumn("_fold", learning.fold(F.col("s1_id"), 3))
+    want = {}
+    for k in range(3):
+        alone = learning.Booster(["x", "y"], 2).fit(numbered.filter(F.col("_fold") != k))
+        want |= {r.t_id: r.p for r in alone.predict(numbered.filter(F.col("_fold") == k), "p").collect()}
+    met, fit = threading.Barrier(4), learning.Booster.fit
+
+    def together(self, part):
+        met.wait(20)
+        return fit(self, part)
+
+    monkeypatch.setattr(learning.Booster, "fit", together)
+    got, whole = learning.out_of_fold(df, ["x", "y"], "p", folds=3, trees=2)
+    assert {r.t_id: r.p for r in got.collect()} == want and whole.model is not None
 
 
 def test_tables_and_validation(spark, tmp_path):
